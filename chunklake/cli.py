@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print("[" + ",\n".join(r.json for r in extract.listing_json(toc).orderBy("index").toLocalIterator()) + "]")
         else:
             for r in toc.orderBy("index").toLocalIterator():
-                print(f"{r.index}\t{r.filename}\t{r.size}")
+                print(f"{r["index"]}\t{r.filename}\t{r.size}")
     elif a.mode == "extract":
         n = extract.extract(spark, a.archive, a.output, a.indices, s.force).count()
         print(json.dumps({"files": n}))

@@ -248,7 +248,13 @@ def sector_exception(sector: pd.Series, kind: pd.Series) -> pd.Series:
 @F.pandas_udf(T.LongType())
 def edc_of(data: pd.Series) -> pd.Series:
     """The error-detection code of any bytes; of none it is 0, of null null."""
-    return pd.Series([None if d is None else int(edc(np.frombuffer(bytes(d), np.uint8)[None, :])[0]) for d in data], dtype="Int64")
+    out = pd.Series([None] * len(data), dtype="Int64")
+    sizes = np.array([-1 if d is None else len(d) for d in data])
+    for n in np.unique(sizes[sizes >= 0]):
+        at = np.flatnonzero(sizes == n)
+        grid = np.frombuffer(b"".join(bytes(data.iloc[i]) for i in at), np.uint8).reshape(len(at), n)
+        out.iloc[at] = edc(grid).astype(np.int64)
+    return out
 
 
 @F.pandas_udf(T.BooleanType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunklake.functions.disc import is_pregap, track_mode, track_type
 from chunklake.functions.scalars import base_name, frames_to_msf, msf_text, parse_msf, stem
+from chunklake.operators.prefix import global_running_sum
 
 FILE_LINE = r'^\s*FILE\s+"([^"]*)"\s+(\S+)'
 TRACK_LINE = r"^\s*TRACK\s+(\d+)\s+(\S+)"
@@ -41,7 +42,9 @@ def parse_cue(sheets: DataFrame, sheet: str = "sheet", text: str = "text") -> Da
         .when(F.col("i").isNotNull() & F.col("track_no").isNull(), F.lit("INDEX before TRACK"))
         .when(F.col("f_type").isNotNull() & (F.upper("f_type") != "BINARY"), F.concat(F.lit("file type "), F.col("f_type")))
     )
-    checked = carried.filter(F.when(wrong.isNotNull(), F.raise_error(F.concat(F.col(sheet).cast("string"), F.lit(": "), wrong)).cast("boolean")).otherwise(F.lit(True)))
+    # The check is part of the kept column, so that it is made on every line, whatever filters follow.
+    failed = F.raise_error(F.concat(F.col(sheet).cast("string"), F.lit(": "), wrong)).cast("int")
+    checked = carried.withColumn("i", F.when(wrong.isNotNull(), failed).otherwise(F.col("i")))
     return checked.filter("i is not null").select(sheet, F.col("file_no").cast("int").alias("file_no"), "file_name", "track_no", track_type(F.col("mode")).alias("track_mode"), F.col("i").alias("index_no"), parse_msf(F.col("i_at")).alias("frames"))
 
 
@@ -109,5 +112,6 @@ def playlist_entries(lines: DataFrame, playlist: str = "playlist_id", no: str =
 
 def collections(entries: DataFrame, playlist: str = "playlist_id") -> DataFrame:
     """(title, collection_id): playlists with entries are numbered from 0, modulo 256, in order; of several the last one counts."""
-    ids = entries.select(playlist).distinct().withColumn("collection_id", ((F.dense_rank().over(Window.orderBy(playlist)) - 1) % 256).cast("int"))
+    one = entries.select(playlist).distinct().withColumn("_one", F.lit(1))
+    ids = global_running_sum(one, [F.col(playlist)], "_one", "_n").select(playlist, (F.col("_n") % 256).cast("int").alias("collection_id"))
     return entries.join(ids, playlist).groupBy("title").agg(F.max_by("collection_id", playlist).alias("collection_id"))

@@ -14,13 +14,13 @@ def global_running_sum(df: DataFrame, order: list[Column], value: str, out: str,
     Rows are range-partitioned and sorted; only one sum and count for each partition is folded in a small second step (as many
     rows as partitions), joined back, and added to the sums within partitions. `order` must be total.
     """
-    part = stage(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
-    totals = part.groupBy("_p").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_p", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_s"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n"))
-    inner = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    got = part.withColumn("_w", F.coalesce(F.sum(value).over(inner), F.lit(0))).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    got = got.join(F.broadcast(base), "_p").withColumn(out, (F.col("_s") + F.col("_w")).cast("long"))
+    part = stage(df.repartitionByRange(*order).withColumn("_prefix_p", F.spark_partition_id()), "ranges")
+    totals = part.groupBy("_prefix_p").agg(F.sum(value).alias("_prefix_s"), F.count(F.lit(1)).alias("_prefix_n"))
+    w = Window.orderBy("_prefix_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("_prefix_p", F.coalesce(F.sum("_prefix_s").over(w), F.lit(0)).alias("_prefix_s"), F.coalesce(F.sum("_prefix_n").over(w), F.lit(0)).alias("_prefix_n"))
+    inner = Window.partitionBy("_prefix_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    got = part.withColumn("_prefix_w", F.coalesce(F.sum(value).over(inner), F.lit(0))).withColumn("_prefix_k", F.row_number().over(Window.partitionBy("_prefix_p").orderBy(*order)) - 1)
+    got = got.join(F.broadcast(base), "_prefix_p").withColumn(out, (F.col("_prefix_s") + F.col("_prefix_w")).cast("long"))
     if rank:
-        got = got.withColumn(rank, (F.col("_n") + F.col("_k")).cast("long"))
-    return got.drop("_p", "_s", "_n", "_w", "_k")
+        got = got.withColumn(rank, (F.col("_prefix_n") + F.col("_prefix_k")).cast("long"))
+    return got.drop("_prefix_p", "_prefix_s", "_prefix_n", "_prefix_w", "_prefix_k")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunklake.operators.prefix import global_running_sum
+
 
 def _order(keys: list[str], pos: str):
     return Window.partitionBy(*keys).orderBy(pos)
@@ -37,15 +39,9 @@ def change_points(df: DataFrame, keys: list[str], pos: str, value: str) -> DataF
 
 def registry(df: DataFrame, value: str, first: list[str], length: Column) -> DataFrame:
     """(value, id, value_offset, value_length): ids from 0 by first appearance (the least `first` columns), and offsets of the values
-    laid one after the other. Deterministic. Registries hold distinct small records; one window over them numbers them."""
-    at = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*first)).alias("_at"))
-    w = Window.orderBy("_at")
-    return at.select(
-        value,
-        (F.row_number().over(w) - 1).cast("long").alias("id"),
-        F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("value_offset"),
-        length.cast("long").alias("value_length"),
-    )
+    laid one after the other. Deterministic; numbered in two levels, so that a large registry isn't sorted into one task."""
+    at = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*first)).alias("_at")).withColumn("value_length", length.cast("long"))
+    return global_running_sum(at, [F.col("_at")], "value_length", "value_offset", "id").select(value, "id", "value_offset", "value_length")
 
 
 def stream_offsets(df: DataFrame, keys: list[str], pos: str, size: Column) -> DataFrame:
