@@ -132,7 +132,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, ident: str = "doc_id", lev
     for r in sums:
         a[r.i], b[r.i] = [r[f"s{j}"] for j in range(k)], r.y
     scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-12))
-    w = np.linalg.solve(a * scale[:, None] * scale + 1e-7 * np.eye(k), b * scale) * scale
+    # A prior of fixed strength, which a few hundred labels need and which many outweigh; a[0, 0] is the number of labels.
+    w = np.linalg.solve(a * scale[:, None] * scale + (0.01 / a[0, 0]) * np.eye(k), b * scale) * scale
     return [float(v) for v in w]
 
 

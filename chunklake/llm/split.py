@@ -77,7 +77,8 @@ def boundaries(d: np.ndarray, first: int, whole: int, lo: int, hi: int, slot: in
     change = np.flatnonzero(d[1:] != d[:-1]) + 1 if len(d) else np.zeros(0, np.int64)
     if len(d):
         runs = np.diff(np.r_[0, change])
-        found.append((change[runs >= _FILL_RUN], _FILL))
+        # A letter repeated in a text is no fill.
+        found.append((change[(runs >= _FILL_RUN) & ~text[change - 1]], _FILL))
     raw = d.tobytes()
     at, syncs = raw.find(SYNC), []
     while at >= 0:
