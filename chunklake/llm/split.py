@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunklake.llm.bytesets import binary_parts
@@ -134,20 +134,23 @@ def choose_cuts(place: np.ndarray, kind: np.ndarray, whole: int, limit: int, ove
         base = cut
 
 
-def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
-        num = [rb.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)]  # range_no, from, whole, item_limit
-        offsets, data = binary_parts(rb.column(7))
-        places, kinds, sizes = [], [], [0]
-        for i in range(rb.num_rows):
-            r, first, whole, limit = (int(c[i]) for c in num)
-            p, k = boundaries(data[offsets[i] : offsets[i + 1]], first, whole, r * RANGE, min(whole, (r + 1) * RANGE), max(16, limit // 32))
-            places.append(p)
-            kinds.append(k)
-            sizes.append(len(p))
-        lists = pa.array(np.cumsum(sizes).astype(np.int32))
-        flat = lambda xs, t: pa.ListArray.from_arrays(lists, pa.array(np.concatenate(xs).astype(t)))
-        yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in (0, 1, 2, 3, 5, 6)), flat(places, np.int64), flat(kinds, np.int8)], names=["item_kind", "item_id", "digest", "range_no", "whole", "item_limit", "place", "kind"])
+def _find(range_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            num = [rb.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)]  # range_no, from, whole, item_limit
+            offsets, data = binary_parts(rb.column(7))
+            places, kinds, sizes = [], [], [0]
+            for i in range(rb.num_rows):
+                r, first, whole, limit = (int(c[i]) for c in num)
+                p, k = boundaries(data[offsets[i] : offsets[i + 1]], first, whole, r * range_bytes, min(whole, (r + 1) * range_bytes), max(16, limit // 32))
+                places.append(p)
+                kinds.append(k)
+                sizes.append(len(p))
+            lists = pa.array(np.cumsum(sizes).astype(np.int32))
+            flat = lambda xs, t: pa.ListArray.from_arrays(lists, pa.array(np.concatenate(xs).astype(t)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(rb.column(i) for i in (0, 1, 2, 3, 5, 6)), flat(places, np.int64), flat(kinds, np.int8)], names=["item_kind", "item_id", "digest", "range_no", "whole", "item_limit", "place", "kind"])
+
+    return run
 
 
 def _stitch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +178,15 @@ def _stitch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pylist([dict(zip(names, cuts()))], schema=schema)
 
 
-def _ranges(items: DataFrame, left: int, right: int) -> DataFrame:
+def _ranges(items: DataFrame, range_bytes: int, left: int, right: int | Column) -> DataFrame:
     """Byte ranges of items over the limit, with halos. The slices are made inside one expression: the item isn't copied for each."""
     n = F.octet_length("data")
     cut = F.transform(
-        F.sequence(F.lit(0), F.expr(f"(octet_length(data) - 1) div {RANGE}").cast("int")),
+        F.sequence(F.lit(0), F.expr(f"(octet_length(data) - 1) div {range_bytes}").cast("int")),
         lambda r: F.struct(
             r.alias("range_no"),
-            F.greatest(r * RANGE - left, F.lit(0)).cast("long").alias("from"),
-            F.col("data").substr(F.greatest(r * RANGE - left, F.lit(0)) + 1, F.least(r * RANGE, F.lit(left)) + RANGE + right).alias("bytes"),
+            F.greatest(r * range_bytes - left, F.lit(0)).cast("long").alias("from"),
+            F.col("data").substr(F.greatest(r * range_bytes - left, F.lit(0)) + 1, F.least(r * range_bytes, F.lit(left)) + range_bytes + right).alias("bytes"),
         ),
     )
     return (
@@ -203,20 +206,20 @@ def items_of(files: DataFrame | None = None, chunks: DataFrame | None = None, fi
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def split_plan(items: DataFrame) -> DataFrame:
+def split_plan(items: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """(item_kind, item_id, digest, ends, kinds) of the items over their limit: where the pieces end, and at what.
 
     Items of exactly the limit, shorter, empty or null ones are not split and not in the result. Rows repeated with equal id
     and data are one item; with equal id and other data they are several (digest tells them apart). A null id is kept.
     """
-    found = _ranges(items, HALO, HALO).mapInArrow(_find_batches, "item_kind string, item_id long, digest long, range_no int, whole long, item_limit int, place array<long>, kind array<byte>")
+    found = _ranges(items, range_bytes, HALO, HALO).mapInArrow(_find(range_bytes), "item_kind string, item_id long, digest long, range_no int, whole long, item_limit int, place array<long>, kind array<byte>")
     key = ["item_kind", "item_id", "digest"]
     once = found.dropDuplicates([*key, "range_no"])
     # digest spreads the items, and all ranges of one item meet in one task: some bytes for each slot, not the data.
     return once.repartition(*key).sortWithinPartitions(*key, "range_no").mapInArrow(_stitch_batches, "item_kind string, item_id long, digest long, ends array<long>, kinds array<byte>")
 
 
-def pieces(items: DataFrame) -> DataFrame:
+def pieces(items: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """(item_kind, item_id, digest, piece_no, piece_start, piece_bytes, piece_end, ended_at, piece) of the items over their limit.
 
     piece_start counts bytes from 0; a piece after the first starts OVERLAP bytes before the last one's end, so that it
@@ -224,11 +227,11 @@ def pieces(items: DataFrame) -> DataFrame:
     the content has no end in reach. Cases as in split_plan.
     """
     key = ["item_kind", "item_id", "digest"]
-    lengths = split_plan(items).select(*key, F.posexplode(F.arrays_zip("ends", "kinds")).alias("piece_no", "p")).select(*key, "piece_no", F.col("p.ends").alias("piece_end"), F.col("p.kinds").alias("kind"))
+    lengths = split_plan(items, range_bytes).select(*key, F.posexplode(F.arrays_zip("ends", "kinds")).alias("piece_no", "p")).select(*key, "piece_no", F.col("p.ends").alias("piece_end"), F.col("p.kinds").alias("kind"))
     w = Window.partitionBy(*key).orderBy("piece_no")
     before = F.lag("piece_end").over(w)
-    placed = lengths.withColumn("piece_start", F.coalesce(before - OVERLAP, F.lit(0))).withColumn("range_no", F.expr(f"piece_start div {RANGE}").cast("int"))
-    ranges = _ranges(items, 0, max(FILE_LIMIT, CHUNK_LIMIT)).select(*key, "range_no", "from", "bytes").dropDuplicates([*key, "range_no"])
+    placed = lengths.withColumn("piece_start", F.coalesce(before - OVERLAP, F.lit(0))).withColumn("range_no", F.expr(f"piece_start div {range_bytes}").cast("int"))
+    ranges = _ranges(items, range_bytes, 0, F.col("item_limit")).select(*key, "range_no", "from", "bytes").dropDuplicates([*key, "range_no"])
     p, r = placed.alias("p"), ranges.alias("r")
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*key, "range_no")]
     got = p.join(r, on)
@@ -245,6 +248,6 @@ def pieces(items: DataFrame) -> DataFrame:
     )
 
 
-def oversized(items: DataFrame) -> DataFrame:
+def oversized(items: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """(item_kind, item_id) of the items that come out as two or more pieces."""
-    return split_plan(items).filter(F.size("ends") > 1).select("item_kind", "item_id").distinct()
+    return split_plan(items, range_bytes).filter(F.size("ends") > 1).select("item_kind", "item_id").distinct()

@@ -87,7 +87,7 @@ def check_pieces(data, limit, got):
     return got
 
 
-def test_pieces(spark, monkeypatch):
+def test_pieces(spark):
     rng = random.Random(4)
     text = "".join(f"Line {i} has {'x' * rng.randrange(60)} words. And more!\n" for i in range(900)).encode()
     sector = split.SYNC + bytes(rng.randrange(256) for _ in range(2340))
@@ -98,11 +98,10 @@ def test_pieces(spark, monkeypatch):
     df = spark.createDataFrame([(k, v if v is None else bytearray(v), 99, "x") for k, v in data.items()] + [(1, bytearray(text), 1, "y")], "file_id long, file_data binary, file_size long, item_kind string")
     msgs = spark.createDataFrame([(1, bytearray(text[:3000])), (2, bytearray(text[:1024])), (None, bytearray(text[:1025]))], "msg_id long, chunk_data binary")
     for size in (1 << 18, 1 << 13):
-        monkeypatch.setattr(split, "RANGE", size)
         items = split.items_of(df, msgs)
-        assert rows(split.oversized(items).filter("item_id is not null")) == [("chunk", 1)] + [("file", i) for i in (1, 2, 3, 4, 5, 7)]
-        assert split.oversized(items).filter("item_id is null").count() == 1
-        got = split.pieces(items).collect()
+        assert rows(split.oversized(items, size).filter("item_id is not null")) == [("chunk", 1)] + [("file", i) for i in (1, 2, 3, 4, 5, 7)]
+        assert split.oversized(items, size).filter("item_id is null").count() == 1
+        got = split.pieces(items, size).collect()
         by = {k: check_pieces(data[k], 8192, [p for p in got if p.item_kind == "file" and p.item_id == k]) for k in (1, 2, 3, 4, 5, 7)}
         assert {p.ended_at for p in by[1][:-1]} == {"line"} and all(p.piece[-1] == 10 for p in by[1][:-1])
         assert all(p.piece_end % split.SECTOR == 0 for p in by[2][:-1])
