@@ -72,7 +72,8 @@ def vocabulary(prose: DataFrame) -> DataFrame:
 
 def measures(documents: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """One row for each document with at least one word: word counts, coverage ranks cover_50 .. and sentence complexity."""
-    prose = _prose(documents, ident, text, lang)
+    # Cut into words once; the vocabulary and the documents both read the written words.
+    prose = stage(_prose(documents, ident, text, lang), "prose")
     words = vocabulary(prose)
     # The size is taken before the words are exploded: an exploded row must not carry the array along.
     sized = prose.select(F.monotonically_increasing_id().alias("row"), "doc_id", "strings", "sentences", "clauses", "longest", F.size("words").alias("n"), "words")
