@@ -19,8 +19,9 @@ SHARES = (0.5, 0.75, 0.9, 0.97)
 ADVANCED = 3.5
 _MARKUP = r"<[^<>]{1,200}>|&#?[A-Za-z0-9]{1,10};|https?://\S+"
 _UNSEEN = r"[\p{Mn}\p{Cf}]"
-_OUTER = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-_WORD = r"^\p{L}+(?:['’-]\p{L}+)*$"
+#: A word stands between blanks, with other marks around it at most; a string between blanks has a letter or digit.
+_WORD = r"(?<![^ ])[^\p{L}\p{N} ]*+(\p{L}++(?:['’-]\p{L}++)*+)[^\p{L}\p{N} ]*+(?![^ ])"
+_STRING = r"[\p{L}\p{N}][^ ]*+"
 
 
 def _clean(text: Column) -> Column:
@@ -30,19 +31,17 @@ def _clean(text: Column) -> Column:
 
 def _prose(documents: DataFrame, ident: str, text: str, lang: str | None) -> DataFrame:
     """Each document's words (lower case), the number of its blank-separated strings, and its sentences' measures."""
-    parts = F.transform(F.split(F.col("t"), " "), lambda w: F.regexp_replace(F.lower(w), _OUTER, ""))
     # A sentence ends with a mark that is followed by a blank or the end, or with a line break.
     raw = F.regexp_replace(F.regexp_replace(F.col(text), _MARKUP, " \n "), _UNSEEN, "")
     sentences = F.filter(F.split(raw, r"(?<=[.!?])[\"')\]]*\s+|[\r\n]+"), lambda s: F.length(F.trim(s)) > 1)
     language = F.lower(F.substring(F.col(lang), 1, 2)) if lang else F.lit("en")
     return (
         documents.select(F.col(ident).cast("long").alias("doc_id"), _clean(F.col(text)).alias("t"), sentences.alias("s"), language.alias("language"))
-        .withColumn("parts", F.filter(parts, lambda w: F.length(w) > 0))
         .select(
             "doc_id",
             "language",
-            F.filter("parts", lambda w: w.rlike(_WORD)).alias("words"),
-            F.size("parts").alias("strings"),
+            F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(1)).alias("words"),
+            F.regexp_count("t", F.lit(_STRING)).alias("strings"),
             F.greatest(F.size("s"), F.lit(1)).alias("sentences"),
             F.size(F.split("t", "[,;:]")).alias("clauses"),
             F.array_max(F.transform("s", lambda x: F.size(F.split(F.trim(x), r"\s+")))).alias("longest"),
