@@ -15,8 +15,10 @@ from chunklake.session import stage
 
 LEAST_WORDS = 20
 SHARES = (0.5, 0.75, 0.9, 0.97)
-#: Levels are whole numbers; between 3 and 4 the text counts as the nearer one.
-ADVANCED = 3.5
+#: Levels 4 and 5 are advanced.
+ADVANCED = 4
+#: Where the border between level k and k + 1 may lie, as parts of the way.
+_BORDERS = tuple(round(0.2 + 0.05 * i, 2) for i in range(13))
 _MARKUP = r"<[^<>]{1,200}>|&#?[A-Za-z0-9]{1,10};|https?://\S+"
 _UNSEEN = r"[\p{Mn}\p{Cf}]"
 #: A word stands between blanks, with other marks around it at most; a string between blanks has a letter or digit.
@@ -137,30 +139,54 @@ def calibrate(measured: DataFrame, labels: DataFrame, ident: str = "doc_id", lev
     return [float(v) for v in w]
 
 
+def _score(weights: list[float]) -> Column:
+    return sum((F.lit(v) * t for v, t in zip(weights[1:], _terms()[1:])), F.lit(weights[0]))
+
+
+def borders(measured: DataFrame, labels: DataFrame, weights: list[float], ident: str = "doc_id", level: str = "read_level") -> list[float]:
+    """The scores where level k ends and k + 1 begins: least squares draws scores to the middle, so that half-way isn't best.
+
+    One aggregate counts, for each border and each place it may have, the labels on the right side; of equally good places the
+    mean is taken. Without labels the borders lie half-way.
+    """
+    y = labels.filter(F.col(level).between(1, 5)).groupBy(F.col(ident).cast("long").alias("doc_id")).agg(F.avg(level).alias("y"))
+    rows = measured.join(y, "doc_id").select(_score(weights).alias("s"), "y")
+    right = [F.sum(((F.col("s") >= k + b) == (F.col("y") > k + 0.5)).cast("int")).alias(f"r{k}_{i}") for k in range(1, 5) for i, b in enumerate(_BORDERS)]
+    got = rows.agg(*right).first()
+    out = []
+    for k in range(1, 5):
+        counts = [got[f"r{k}_{i}"] or 0 for i in range(len(_BORDERS))]
+        best = [b for b, c in zip(_BORDERS, counts) if c == max(counts)]
+        out.append(k + sum(best) / len(best))
+    return out
+
+
 def reading_levels(documents: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """(doc_id, words, prose_share, english, coverage_rank, words_a_sentence, score, level, is_prose), one row for each row.
 
     coverage_rank is the smallest frequency-ranked vocabulary that holds 90 % of the document's words. score is the
-    calibrated level as a number within 1 to 5, level the nearest whole one. is_prose: English prose of at least 20 words,
+    calibrated level as a number within 1 to 5, level the whole one by the calibrated borders. is_prose: English prose of at least 20 words,
     whatever `lang` says (most words are English by the corpus's own odds, and most strings are words). score and level are
     null elsewhere: for null, empty and blank texts, lists of codes, other languages. Repeated rows each get their row.
     """
     measured = stage(measures(documents, ident, text, lang), "measures")
     w = calibrate(measured, labels)
-    raw = sum((F.lit(v) * t for v, t in zip(w[1:], _terms()[1:])), F.lit(w[0]))
+    raw = _score(w)
+    cuts = borders(measured, labels, w)
     prose = (F.col("words") >= LEAST_WORDS) & (F.col("prose_share") >= 0.6) & (F.col("english") >= 0.6)
     score = F.when(prose, F.greatest(F.lit(1.0), F.least(F.lit(5.0), raw)))
+    whole = F.when(prose, F.lit(1) + sum((F.when(raw >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
     got = measured.select(
-        "doc_id", F.col("words").cast("int").alias("words"), "prose_share", "english", F.round(F.exp("cover_90")).cast("long").alias("coverage_rank"), F.exp("log_sentence").alias("words_a_sentence"), score.alias("score"), F.floor(score + 0.5).cast("int").alias("level"), prose.alias("is_prose")
+        "doc_id", F.col("words").cast("int").alias("words"), "prose_share", "english", F.round(F.exp("cover_90")).cast("long").alias("coverage_rank"), F.exp("log_sentence").alias("words_a_sentence"), score.alias("score"), whole.cast("int").alias("level"), prose.alias("is_prose")
     )
     none = documents.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("t")).join(measured.select("doc_id").distinct(), "doc_id", "left_anti")
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("prose_share", "double"), ("english", "double"), ("coverage_rank", "long"), ("words_a_sentence", "double"), ("score", "double"), ("level", "int"))]
     return got.unionByName(none.select("doc_id", F.lit(0).alias("words"), *empty, F.lit(False).alias("is_prose")))
 
 
-def advanced(levels: DataFrame, least: float = ADVANCED) -> DataFrame:
+def advanced(levels: DataFrame, least: int = ADVANCED) -> DataFrame:
     """(doc_id) of the English prose of level 4 or 5."""
-    return levels.filter(F.col("is_prose") & (F.col("score") >= least)).select("doc_id").distinct()
+    return levels.filter(F.col("is_prose") & (F.col("level") >= least)).select("doc_id").distinct()
 
 
 def level_profile(levels: DataFrame, documents: DataFrame, by: str = "source", ident: str = "doc_id") -> DataFrame:

@@ -391,7 +391,7 @@ def test_reading_levels(spark):
     assert all(not by[i].is_prose and by[i].score is None for i in (900, 901, 902, 903, 904, 905))
     assert all(not by[i].is_prose for i in range(2, 300, 3)), "other languages are no English prose"
     found = {r.doc_id for r in level.advanced(level.reading_levels(docs, labels)).collect()}
-    assert found == {i for i in by if by[i].is_prose and by[i].score >= 3.5}
+    assert found == {i for i in by if by[i].is_prose and by[i].level >= 4}
     profile = level.level_profile(level.reading_levels(docs, labels), docs).collect()
     assert sum(r.documents for r in profile) >= sum(r.is_prose for r in by.values())
 
