@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-o", "--output", required=True)
     for name, kind in (("window", str), ("dictionary", str), ("level", int), ("hash_bits", int), ("normalisation", int), ("tune_timeout", float)):
         c.add_argument(f"--{name.replace('_', '-')}", type=kind)
-    for name in ("auto_tune", "optimise_dictionary", "force"):
+    for name in ("auto_tune", "optimise_dictionary", "optical", "force"):
         c.add_argument(f"--{name.replace('_', '-')}", action="store_true", default=None)
     i = sub.add_parser("info")
     i.add_argument("archive")
@@ -54,10 +54,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or local_session()
     from pyspark.sql import functions as F
 
-    from chunklake.plans import compress, extract
+    from chunklake.plans import compress, discs, extract
+    from chunklake.sources.archive import DISC, read_header
     from chunklake.sources.files import read_files
 
-    if a.mode == "compress":
+    images = a.mode != "compress" and read_header(a.archive)["format_id"] == DISC
+    if a.mode == "compress" and s.optical:
+        found, tracks, lists = discs.discs_of_folders(spark, a.input)
+        print(json.dumps(discs.compress_discs(found, a.output, s, tracks, lists)))
+    elif a.mode == "compress":
         files = read_files(spark, a.input).select(F.col("path").alias("file_id"), F.col("name").alias("file_name"), "content")
         print(json.dumps(compress.compress(files, a.output, s)))
     elif a.mode == "info":
@@ -67,11 +72,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         else:
             for r in toc.orderBy("index").toLocalIterator():
                 print(f"{r["index"]}\t{r.filename}\t{r.size}")
+    elif a.mode == "extract" and images:
+        os.makedirs(a.output, exist_ok=True)
+        print(json.dumps({"discs": discs.extract_discs(spark, a.archive, a.output).count()}))
     elif a.mode == "extract":
         n = extract.extract(spark, a.archive, a.output, a.indices, s.force).count()
         print(json.dumps({"files": n}))
     else:
-        bad = extract.verify(spark, a.archive, a.indices).filter("not ok").count()
+        checked = discs.verify_discs(spark, a.archive) if images else extract.verify(spark, a.archive, a.indices)
+        bad = checked.filter("not ok").count()
         print(json.dumps({"damaged": bad}))
         return int(bad > 0)
     return 0

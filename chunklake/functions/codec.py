@@ -41,16 +41,22 @@ def decompress(data: bytes, dictionary: bytes = b"") -> bytes:
 
 
 def with_codec(df: DataFrame, column: str, out: str, how: str, dictionary: bytes = b"", level: int = DEFAULT_LEVEL) -> DataFrame:
-    """Adds `out`: `column` compressed or decompressed (binary), or its compressed length (how = "length"). Null stays null."""
+    """Adds `out`: `column` compressed or decompressed (binary), or its compressed length (how = "length"). Null stays null.
+    "stored" decodes by the column codec: 0 zstd, 1 audio."""
     shared = df.sparkSession.sparkContext.broadcast(dictionary)  # at most 1 MiB by its trainer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = shared.value
-        do = {"compress": lambda x: compress(x, d, level), "length": lambda x: len(compress(x, d, level)), "decompress": lambda x: decompress(x, d), "audio": encode_audio, "unaudio": decode_audio}[how]
+        do = {"compress": lambda x: compress(x, d, level), "length": lambda x: len(compress(x, d, level)), "decompress": lambda x: decompress(x, d), "audio": encode_audio, "unaudio": decode_audio, "stored": None}[how]
         kind = pa.int64() if how == "length" else pa.binary()
         for rb in batches:
             i = rb.schema.get_field_index(column)
-            got = pa.array([None if v is None else do(v) for v in rb.column(i).to_pylist()], kind)
+            vals = rb.column(i).to_pylist()
+            if how == "stored":
+                codecs = rb.column(rb.schema.get_field_index("codec")).to_pylist()
+                got = pa.array([None if v is None else decode_audio(v) if c else decompress(v, d) for v, c in zip(vals, codecs)], kind)
+            else:
+                got = pa.array([None if v is None else do(v) for v in vals], kind)
             yield pa.RecordBatch.from_arrays([*rb.columns, got], names=[*rb.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -24,13 +24,13 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lstart: st
     bucket finds candidates, and a pair counts in the bucket where its overlap begins only. Never a nested loop.
 
     Empty intervals overlap where they lie strictly inside the other one. how: inner or left. Choose bucket near the longer
-    side's usual length: a row is copied for each bucket it touches. Columns of the two sides need different names, keys apart.
+    side's usual length: a row is copied for each bucket it touches. Positions are whole numbers from 0. Columns of the two sides need different names, keys apart.
     """
-    spread = lambda df, a, b: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / bucket))))
-    lo = F.greatest(lstart, rstart)
+    spread = lambda df, a, b: df.withColumn("_b", F.explode(F.expr(f"sequence({a} div {bucket}, (greatest({b}, {a} + 1) - 1) div {bucket})")))
+    lo = F.expr(f"greatest({lstart}, {rstart}) div {bucket}")
     if how == "left":
         left = left.withColumn("_id", F.monotonically_increasing_id())
-    pairs = spread(left, lstart, lend).join(spread(right, rstart, rend), [*keys, "_b"]).filter((F.col(lstart) < F.col(rend)) & (F.col(lend) > F.col(rstart)) & (F.floor(lo / bucket) == F.col("_b"))).drop("_b")
+    pairs = spread(left, lstart, lend).join(spread(right, rstart, rend), [*keys, "_b"]).filter((F.col(lstart) < F.col(rend)) & (F.col(lend) > F.col(rstart)) & (lo == F.col("_b"))).drop("_b")
     if how == "inner":
         return pairs
     own = [c for c in right.columns if c not in keys]

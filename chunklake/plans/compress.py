@@ -55,18 +55,12 @@ def compress(files: DataFrame, path: str, settings: Settings = Settings(), name:
     placed = packed.join(b.order.select("chunk_hash", "position"), "chunk_hash").withColumn("compressed_length", F.octet_length("compressed"))
     placed = stage(global_running_sum(placed, [F.col("position")], "compressed_length", "data_offset"), "packed")
     n, total = b.toc.agg(F.count(F.lit(1)), F.coalesce(F.sum("uncompressed_size"), F.lit(0))).first()
-    write_archive(
-        path,
-        b.toc.select(F.col("toc_no").alias("seq"), "toc_no", F.col(name).alias("filename"), "uncompressed_size", "sha512", F.lit(None).cast("int").alias("collection_id")),
-        b.manifest.select(F.col("toc_no").alias("seq"), "toc_no", "chunk_no", "chunk_hash", "chunk_offset", "chunk_length"),
-        placed.select(F.col("position").alias("seq"), "chunk_hash", "data_offset", "compressed_length"),
-        placed.select(F.col("position").alias("seq"), F.col("compressed").alias("payload")),
-        d,
-        n,
-        settings.hash_bits,
-        CART,
-        settings.force,
-    )
+    tables = {
+        "toc": b.toc.select(F.col("toc_no").alias("seq"), "toc_no", F.col(name).alias("filename"), "uncompressed_size", "sha512", F.lit(None).cast("int").alias("collection_id")),
+        "manifest": b.manifest.select(F.col("toc_no").alias("seq"), "toc_no", "chunk_no", "chunk_hash", "chunk_offset", "chunk_length"),
+        "index": placed.select(F.col("position").alias("seq"), "chunk_hash", "data_offset", "compressed_length", F.lit(0).alias("codec")),
+    }
+    write_archive(path, tables, placed.select(F.col("position").alias("seq"), F.col("compressed").alias("payload")), d, n, settings.hash_bits, CART, settings.force)
     c, packed_bytes = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_length"), F.lit(0))).first()
     return {"files": n, "bytes": total, "unique_chunks": c, "compressed_bytes": packed_bytes, "window": window, "dictionary": len(d)}
 

@@ -15,7 +15,7 @@ from chunklake.functions.hashing import hash_hex
 from chunklake.functions.scalars import human_size, parse_index_list
 from chunklake.operators.seek import out_of_bounds, seek
 from chunklake.operators.verify import digests
-from chunklake.sources.archive import local, read_archive, read_header
+from chunklake.sources.archive import fetch_chunks, local, read_archive, read_header
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +36,7 @@ def selected(spark: SparkSession, path: str, indices: str | None) -> DataFrame:
 
 def _plain(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     d = bytes(read_archive(spark, path, "dictionary").first()[0])
-    packed = read_archive(spark, path, "chunks").join(wanted.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
-    return with_codec(packed, "compressed", "chunk_data", "decompress", d).select("chunk_hash", "chunk_data")
+    return with_codec(fetch_chunks(spark, path, wanted), "compressed", "chunk_data", "stored", d).select("chunk_hash", "chunk_data")
 
 
 def chunk_rows(spark: SparkSession, path: str, toc: DataFrame) -> DataFrame:

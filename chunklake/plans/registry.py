@@ -12,7 +12,7 @@ from chunklake.functions import codec, disc, scalars
 from chunklake.functions.hashing import chunk_hash, digests as both_digests
 from chunklake.functions.keys import canonical_key, canonical_key_sql
 from chunklake.operators import chunking, cue, dedup, joins, layout, optical, runs, seek, skew, tuning, verify
-from chunklake.plans import compress, extract
+from chunklake.plans import compress, discs, extract
 from chunklake.session import shared_dir, stage, table
 from chunklake.sources import files as sources
 from chunklake.sources.config import Settings
@@ -656,6 +656,25 @@ def edc_check(spark, d):
     return s.select("disc", "sector_idx", (disc.edc_of(F.col("sector").substr(1, 2064)) == stored).alias("edc_ok"), disc.ecc_ok("sector").alias("ecc_ok"))
 
 
+def _disc_archive(spark, d) -> str:
+    path = f"{shared_dir(spark)}/discs-{uuid.uuid4().hex}.cla"
+    images = _discs(spark, d).select(F.format_string("disc_%08d", F.col("disc")).alias("title"), "image")
+    discs.compress_discs(images, path, Settings(optical=True, level=7))
+    return path
+
+
+@query("SELECT row_number() OVER (ORDER BY file_id) AS toc_no, printf('disc_%08d', file_id) AS filename, true AS ok FROM filedata WHERE octet_length(file_data) > 0 AND octet_length(file_data) % 2352 = 0")
+def disc_archive_verify(spark, d):
+    return discs.verify_discs(spark, _disc_archive(spark, d))
+
+
+@query(f"WITH {_SECTORS}, t AS (SELECT disc, row_number() OVER (ORDER BY disc) AS toc_no FROM (SELECT DISTINCT disc FROM s)) SELECT toc_no AS disc, sector_idx, md5(unhex(h)) AS md5 FROM s JOIN t USING (disc) WHERE sector_idx = 1")
+def disc_archive_sector(spark, d):
+    path = _disc_archive(spark, d)
+    want = extract.selected(spark, path, None).select("toc_no", F.lit(1).cast("long").alias("sector_idx"))
+    return discs.disc_sectors(spark, path, want).select("disc", "sector_idx", F.md5("sector").alias("md5"))
+
+
 # Streaming
 
 @query("SELECT date_trunc('hour', received_at) AS window_start, count(*) AS messages, count(chunk_hash) AS keyed FROM chunkmessage GROUP BY 1")

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,23 @@ def drop_stages(spark: SparkSession) -> None:
                 shutil.rmtree(os.path.join(root, name), ignore_errors=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each context, so that they need neither its folder nor a PYTHONPATH."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chunklake_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    made = os.path.join(tempfile.mkdtemp(prefix="chunklake-zip-"), "chunklake.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("chunklake", os.path.relpath(full, here)))
+    sc.addPyFile(made)
+    sc._chunklake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -339,6 +339,32 @@ def test_streamed_windows(spark):
     assert rows(windowed_arrivals(df), "messages", "keyed") == [(2, 1)]
 
 
+def test_disc_archive(spark, tmp_path, capsys):
+    from chunklake import cli
+    from chunklake.plans import discs
+
+    raw = make_disc(np.random.default_rng(2)).tobytes()
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "Game (Disc 1).bin").write_bytes(raw[: 17 * 2352])
+    (src / "tail.bin").write_bytes(raw[17 * 2352 :])
+    (src / "Other.bin").write_bytes(raw[17 * 2352 :] * 2)
+    (src / "Game (Disc 1).cue").write_text('FILE "Game (Disc 1).bin" BINARY\n  TRACK 01 MODE1/2352\n    INDEX 01 00:00:00\nFILE "tail.bin" BINARY\n  TRACK 02 AUDIO\n    INDEX 00 00:00:00\n    INDEX 01 00:00:03\n')
+    (src / "Other.cue").write_text('FILE "Other.bin" BINARY\n  TRACK 01 AUDIO\n    INDEX 01 00:00:00\n')
+    (src / "set.m3u").write_text("#EXTM3U\nGame (Disc 1).cue\n")
+    path = str(tmp_path / "d.cla")
+    assert cli.main(["compress", str(src), "-o", path, "--optical", "--level", "3", "--window", "1024"], spark) == 0
+    assert cli.main(["verify", path], spark) == 0
+    assert rows(extract.listing(spark, path), "filename", "size_bytes", "collection_id") == [("Game (Disc 1)", len(raw), 0), ("Other", 40 * 2352, None)]
+    assert cli.main(["extract", path, "-o", str(tmp_path / "out")], spark) == 0
+    assert (tmp_path / "out" / "Game (Disc 1).bin").read_bytes() == raw and (tmp_path / "out" / "Other.bin").read_bytes() == raw[17 * 2352 :] * 2
+    assert "INDEX 00 00:00:17\n    INDEX 01 00:00:20" in (tmp_path / "out" / "Game (Disc 1).cue").read_text()
+    want = spark.createDataFrame([(1, 9), (1, 18)], "toc_no long, sector_idx long")
+    assert {r.sector_idx: bytes(r.sector) for r in discs.disc_sectors(spark, path, want).collect()} == {i: raw[i * 2352 : (i + 1) * 2352] for i in (9, 18)}
+    with pytest.raises(archive.ArchiveError):
+        archive.ArchiveReader(path, "manifest").partitions()
+
+
 def test_command_line(spark, tmp_path, capsys):
     from chunklake import cli
 
