@@ -109,8 +109,25 @@ _KEYED = f"""WITH m AS (SELECT msg_id, received_at, {canonical_key_sql("chunk_ha
 r AS (SELECT msg_id, k, row_number() OVER (PARTITION BY k ORDER BY received_at, msg_id) AS n FROM m WHERE k IS NOT NULL)"""
 
 
+#: All windows of 256 bytes, those another file has too, and their unbroken runs. Takes seconds a megabyte.
+_SPANS = """WITH h AS (SELECT file_id, hex(file_data) AS x, octet_length(file_data) AS n FROM filedata WHERE octet_length(file_data) >= 256),
+w AS (SELECT file_id, i, md5(substr(x, 2 * i + 1, 512)) AS k FROM (SELECT file_id, x, unnest(range(n - 255)) AS i FROM h)),
+s AS (SELECT k FROM w GROUP BY k HAVING min(file_id) <> max(file_id)),
+c AS (SELECT file_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY file_id ORDER BY i) + 256 THEN 0 ELSE 1 END AS nw FROM w SEMI JOIN s USING (k)),
+g AS (SELECT file_id, i, sum(nw) OVER (PARTITION BY file_id ORDER BY i) AS r FROM c)
+SELECT file_id, CAST(min(i) AS BIGINT) AS span_start, CAST(max(i) - min(i) + 256 AS BIGINT) AS span_bytes FROM g GROUP BY file_id, r"""
+#: All sets of 16-byte strings, and all pairs of files that share one.
+_PAIRS = """WITH h AS (SELECT file_id, hex(file_data) AS x, octet_length(file_data) AS n FROM filedata WHERE octet_length(file_data) >= 64),
+w AS (SELECT DISTINCT file_id, substr(x, 2 * i + 1, 32) AS k FROM (SELECT file_id, x, unnest(range(n - 15)) AS i FROM h)),
+z AS (SELECT file_id, count(*) AS n FROM w GROUP BY file_id),
+p AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS i FROM w a JOIN w b ON a.k = b.k AND a.file_id < b.file_id GROUP BY ALL)
+SELECT p.a AS file_id_a, p.b AS file_id_b FROM p JOIN z x ON x.file_id = p.a JOIN z y ON y.file_id = p.b WHERE p.i >= 0.6 * (x.n + y.n - p.i)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _SPANS,
+        "p5_found": _PAIRS,
         "p1_found": f"{_KEYED} SELECT msg_id FROM r WHERE n > 1 OR k IN (SELECT chunk_hash FROM chunkindex)",
         "p1_answers": f"{_KEYED} SELECT msg_id, n > 1 OR k IN (SELECT chunk_hash FROM chunkindex) AS seen FROM r UNION ALL SELECT msg_id, NULL FROM m WHERE k IS NULL",
         "p2_found": "SELECT 'file' AS item_kind, file_id AS item_id FROM filedata WHERE octet_length(file_data) > 8192 "
