@@ -35,6 +35,18 @@ def gear_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return h
 
 
+def _candidates(data: np.ndarray, table: np.ndarray, shifts: tuple[int, int], part: int = 1 << 22) -> list[np.ndarray]:
+    """Where the gear hash has that many zero upper bits, for both numbers; a large file is hashed in parts, each with the 63 bytes
+    before it, so that memory doesn't grow with its size."""
+    found: tuple[list, list] = ([], [])
+    for a in range(0, len(data), part):
+        lead = min(a, 63)
+        h = gear_hashes(data[a - lead : a + part], table)[lead:]
+        for out, bits in zip(found, shifts):
+            out.append(np.flatnonzero(h >> np.uint64(64 - bits) == 0) + a + 1)
+    return [np.concatenate(x) for x in found]
+
+
 def cut_points(data: np.ndarray, window: int, level: int = 0, table: np.ndarray | None = None) -> list[int]:
     """Ends of the chunks of one file: of at least window/4 and at most 4*window bytes, but for the last.
 
@@ -45,10 +57,8 @@ def cut_points(data: np.ndarray, window: int, level: int = 0, table: np.ndarray
     if not n:
         return []
     least, most = max(64, window // 4), window * 4
-    h = gear_hashes(data, gear_table() if table is None else table)
     bits = int(math.log2(window))
-    strict = np.flatnonzero(h >> np.uint64(64 - bits - level) == 0) + 1
-    loose = strict if not level else np.flatnonzero(h >> np.uint64(64 - bits + level) == 0) + 1
+    strict, loose = _candidates(data, gear_table() if table is None else table, (bits + level, bits - level))
     cuts, base = [], 0
     while n - base > least:
         i = int(np.searchsorted(strict, base + least))

@@ -67,6 +67,13 @@ def test_one_byte_changes_few_chunks():
     assert len(x - y) <= 4 and len(x) > 100
 
 
+def test_large_files_are_hashed_in_parts():
+    d = np.random.default_rng(9).integers(0, 256, 10_000).astype(np.uint8)
+    t = chunking.gear_table()
+    for part in (64, 1000, 4096):
+        assert all((a == b).all() for a, b in zip(chunking._candidates(d, t, (5, 3), part), chunking._candidates(d, t, (5, 3))))
+
+
 def test_chunking_tables(spark):
     df = spark.createDataFrame([(1, b""), (2, None), (3, b"a" * 5000)], "file_id long, d binary")
     got = chunking.content_chunks(df, "d", ["file_id"], 256, bits=128).collect()
