@@ -72,7 +72,7 @@ def vocabulary(prose: DataFrame) -> DataFrame:
 
 
 def measures(documents: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """One row for each document with at least one word: word counts, coverage ranks cover_50 .. and sentence complexity."""
+    """One row for each row: word counts, coverage ranks cover_50 .. and sentence complexity; without words all but words is null."""
     # Cut into words once; the vocabulary and the documents both read the written words.
     prose = stage(_prose(documents, ident, text, lang), "prose")
     words = vocabulary(prose)
@@ -93,7 +93,7 @@ def measures(documents: DataFrame, ident: str = "doc_id", text: str = "text", la
         )
     )
     cover = [F.log(F.element_at("ranks", F.ceil(F.size("ranks") * F.lit(s)).cast("int")).cast("double")).alias(f"cover_{round(100 * s)}") for s in SHARES]
-    return folded.select(
+    full = folded.select(
         "doc_id",
         F.col("n").alias("words"),
         (F.col("n") / F.greatest("strings", "n")).alias("prose_share"),
@@ -106,6 +106,8 @@ def measures(documents: DataFrame, ident: str = "doc_id", text: str = "text", la
         F.log(F.greatest("longest", F.lit(1))).alias("log_longest"),
         (F.col("clauses") / F.col("n")).alias("clause_share"),
     )
+    none = prose.filter(F.coalesce(F.size("words"), F.lit(0)) <= 0).select("doc_id", F.lit(0).alias("words"))
+    return full.unionByName(none, allowMissingColumns=True)
 
 
 FEATURES = (*(f"cover_{round(100 * s)}" for s in SHARES), "mean_log_rank", "letters", "long_words", "log_sentence", "log_longest", "clause_share")
@@ -125,7 +127,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, ident: str = "doc_id", lev
     """
     y = labels.filter(F.col(level).between(1, 5)).groupBy(F.col(ident).cast("long").alias("doc_id")).agg(F.avg(level).alias("y"))
     k = len(_terms())
-    rows = measured.join(y, "doc_id").select(F.array(*_terms()).alias("x"), "y")
+    rows = measured.filter("words > 0").join(y, "doc_id").select(F.array(*_terms()).alias("x"), "y")
     each = rows.select("x", "y", F.posexplode("x").alias("i", "v"))
     sums = each.groupBy("i").agg(F.sum(F.col("v") * F.col("y")).alias("y"), *[F.sum(F.col("v") * F.col("x")[j]).alias(f"s{j}") for j in range(k)]).collect()
     if not sums:
@@ -150,7 +152,7 @@ def borders(measured: DataFrame, labels: DataFrame, weights: list[float], ident:
     mean is taken. Without labels the borders lie half-way.
     """
     y = labels.filter(F.col(level).between(1, 5)).groupBy(F.col(ident).cast("long").alias("doc_id")).agg(F.avg(level).alias("y"))
-    rows = measured.join(y, "doc_id").select(_score(weights).alias("s"), "y")
+    rows = measured.filter("words > 0").join(y, "doc_id").select(_score(weights).alias("s"), "y")
     right = [F.sum(((F.col("s") >= k + b) == (F.col("y") > k + 0.5)).cast("int")).alias(f"r{k}_{i}") for k in range(1, 5) for i, b in enumerate(_BORDERS)]
     got = rows.agg(*right).first()
     out = []
@@ -176,12 +178,17 @@ def reading_levels(documents: DataFrame, labels: DataFrame, ident: str = "doc_id
     prose = (F.col("words") >= LEAST_WORDS) & (F.col("prose_share") >= 0.6) & (F.col("english") >= 0.6)
     score = F.when(prose, F.greatest(F.lit(1.0), F.least(F.lit(5.0), raw)))
     whole = F.when(prose, F.lit(1) + sum((F.when(raw >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    got = measured.select(
-        "doc_id", F.col("words").cast("int").alias("words"), "prose_share", "english", F.round(F.exp("cover_90")).cast("long").alias("coverage_rank"), F.exp("log_sentence").alias("words_a_sentence"), score.alias("score"), whole.cast("int").alias("level"), prose.alias("is_prose")
+    return measured.select(
+        "doc_id",
+        F.col("words").cast("int").alias("words"),
+        "prose_share",
+        "english",
+        F.round(F.exp("cover_90")).cast("long").alias("coverage_rank"),
+        F.exp("log_sentence").alias("words_a_sentence"),
+        score.alias("score"),
+        whole.cast("int").alias("level"),
+        F.coalesce(prose, F.lit(False)).alias("is_prose"),
     )
-    none = documents.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("t")).join(measured.select("doc_id").distinct(), "doc_id", "left_anti")
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("prose_share", "double"), ("english", "double"), ("coverage_rank", "long"), ("words_a_sentence", "double"), ("score", "double"), ("level", "int"))]
-    return got.unionByName(none.select("doc_id", F.lit(0).alias("words"), *empty, F.lit(False).alias("is_prose")))
 
 
 def advanced(levels: DataFrame, least: int = ADVANCED) -> DataFrame:

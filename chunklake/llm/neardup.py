@@ -94,6 +94,26 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[whole], own[whole]
 
 
+def signatures(data: np.ndarray, offsets: np.ndarray, limit: int = _BATCH_BYTES) -> np.ndarray:
+    """Signatures of consecutive files. A file over the limit is signed in overlapping parts: a slot's smallest rank over the whole is
+    the smallest over the parts, so that memory doesn't grow with a file's size."""
+    n = len(offsets) - 1
+    if n == 1 and offsets[1] - offsets[0] > limit:
+        sig = np.full((1, SLOTS), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for a in range(int(offsets[0]), int(offsets[1]) - GRAM + 1, limit):
+            x, own = grams(data, np.array([a, min(int(offsets[1]), a + limit + GRAM - 1)]))
+            np.minimum(sig, superminhash(x, own, 1), out=sig)
+        return sig
+    x, own = grams(data, offsets)
+    return superminhash(x, own, n)
+
+
+def gram_set(data: np.ndarray, limit: int = 1 << 22) -> np.ndarray:
+    """The distinct hashes of a file's 16-byte strings, made part by part."""
+    parts = [np.unique(rolling_hashes(data[a : a + limit + GRAM - 1], (GRAM,))[GRAM]) for a in range(0, max(1, len(data) - GRAM + 1), limit)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = (np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     for rb in batches:
@@ -102,8 +122,7 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         while i < rb.num_rows:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BATCH_BYTES, side="right")) - 1)
             j = min(j, rb.num_rows)
-            x, own = grams(data, offsets[i : j + 1])
-            sig = superminhash(x, own, j - i).reshape(j - i, BANDS, ROWS)
+            sig = signatures(data, offsets[i : j + 1]).reshape(j - i, BANDS, ROWS)
             band = mix((mix(sig.copy()) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             lists = pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, j - i), rb.column(1).slice(i, j - i), pa.ListArray.from_arrays(lists, pa.array(band.ravel().view(np.int64)))], names=["file_id", "content", "bands"])
@@ -113,7 +132,7 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _similarity_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sets(col: pa.Array) -> list[np.ndarray]:
         offsets, data = binary_parts(col)
-        return [np.unique(rolling_hashes(data[a:b], (GRAM,))[GRAM]) for a, b in zip(offsets, offsets[1:])]
+        return [gram_set(data[a:b]) for a, b in zip(offsets, offsets[1:])]
 
     for rb in batches:
         out = np.zeros(rb.num_rows)

@@ -18,6 +18,8 @@ from chunklake.functions.keys import canonical_key, key_as_long
 
 BLOCK_BITS = 512
 _EARLIER, _MESSAGE, _PROBE = 0, 1, 2
+#: Stands for a null id on the way: arrays of numbers can't hold nulls.
+_NO_ID = -(2**63)
 _FLOW = "kind byte, at long, id long, key long, bucket int, decided boolean"
 
 
@@ -150,7 +152,7 @@ def answers(
     open_rows = messages.select(
         F.lit(_MESSAGE).cast("byte").alias("kind"),
         F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(2**62))).alias("at"),
-        F.col(ident).cast("long").alias("id"),
+        F.coalesce(F.col(ident).cast("long"), F.lit(_NO_ID)).alias("id"),
         key_as_long(canonical_key(F.col(key))).alias("key"),
     )
     parts = [open_rows]
@@ -180,11 +182,11 @@ def seen_before(messages: DataFrame, earlier: DataFrame | None = None, **how) ->
     """(msg_id, seen) of each message: true if its key is in `earlier` or came in an earlier message, false if it is new.
 
     Messages without a key (null, or no 64-bit hexadecimal number) have a null `seen`: they are neither. Equal rows sent
-    again count as seen unless they are the first; two rows with one id are ordered arbitrarily. An empty table gives no rows.
+    again count as seen unless they are the first; two rows with one id are ordered arbitrarily; a null id comes first and stays null. An empty table gives no rows.
     """
     key = how.get("key", "chunk_hash")
     ident = how.get("ident", "msg_id")
-    got = answers(messages, earlier, **how).filter(F.col("kind") == _MESSAGE).select(F.col("id").alias("msg_id"), F.col("found").alias("seen"))
+    got = answers(messages, earlier, **how).filter(F.col("kind") == _MESSAGE).select(F.nullif("id", F.lit(_NO_ID)).alias("msg_id"), F.col("found").alias("seen"))
     none = messages.filter(canonical_key(F.col(key)).isNull()).select(F.col(ident).cast("long").alias("msg_id"), F.lit(None).cast("boolean").alias("seen"))
     return got.unionByName(none)
 

@@ -15,6 +15,10 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())
 
 
+def rows_any(df):
+    return [tuple(r) for r in df.collect()]
+
+
 def files_of(spark, data):
     """A file table with extra columns whose names the operators use inside."""
     schema = "file_id long, file_data binary, anchor string, band int, a string, content string, data int, rep int, bytes string"
@@ -48,6 +52,8 @@ def test_seen_before_empty_ties_and_null_times(spark):
     assert rows(seen.seen_before(spark.createDataFrame([], schema), spark.createDataFrame([], "chunk_hash string"))) == []
     df = spark.createDataFrame([(2, "a", None), (1, "A", None), (3, "zz", None), (4, "", None)], schema)
     assert rows(seen.seen_before(df)) == [(1, False), (2, True), (3, None), (4, None)]
+    unnamed = spark.createDataFrame([(None, "a", None), (2**60 + 1, "a", None), (2**60, "b", None)], schema)
+    assert sorted(map(str, rows_any(seen.seen_before(unnamed)))) == sorted(map(str, [(None, False), (2**60 + 1, True), (2**60, False)]))
     twice = spark.createDataFrame([(1, "a", None), (1, "a", None)], schema)
     assert rows(seen.seen_before(twice)) == [(1, False), (1, True)]
 
@@ -236,6 +242,13 @@ def test_components_of_chains(spark):
     assert rows(neardup.components(df.filter("false"))) == []
 
 
+def test_long_files_are_signed_in_parts():
+    d = np.frombuffer(random.Random(2).randbytes(5000) + b"ab" * 500, np.uint8)
+    off = np.array([0, len(d)])
+    assert (neardup.signatures(d, off, 700) == neardup.signatures(d, off)).all()
+    assert (neardup.gram_set(d, 300) == neardup.gram_set(d)).all() and len(neardup.gram_set(d[:5])) == 0
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(3)
     for n, j in ((2000, 0.6), (150, 0.3), (30, 0.5)):
@@ -377,7 +390,7 @@ def corpus(spark):
         docs.append((i, text, ("en", "EN", "de")[kind] if rng.random() < 0.95 else None, ("web", "app")[i % 2]))
         if kind < 2 and i % 2:
             labels.append((i, "r", (1, 5)[kind]))
-    docs += [(900, None, None, "web"), (901, "", "en", None), (902, "  ", "en", "x"), (903, "zC2g+34 9912-X 77", "en", "web"), (904, "a big red box", "en", "web"), (905, "X1-22 " * 80, "en", "web"), (0, docs[0][1], "en", "web")]
+    docs += [(900, None, None, "web"), (901, "", "en", None), (902, "  ", "en", "x"), (903, "zC2g+34 9912-X 77", "en", "web"), (904, "a big red box", "en", "web"), (905, "X1-22 " * 80, "en", "web"), (0, docs[0][1], "en", "web"), (0, None, "en", "web"), (None, docs[0][1], "en", "web")]
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, rater string, read_level int")
 
 
@@ -385,7 +398,9 @@ def test_reading_levels(spark):
     docs, labels = corpus(spark)
     got = level.reading_levels(docs, labels).collect()
     assert len(got) == docs.count()
-    by = {r.doc_id: r for r in got}
+    first = sorted(r.words for r in got if r.doc_id == 0)
+    assert first[0] == 0 and first[1] == first[2] > 40 and [r.words for r in got if r.doc_id is None] == first[1:2]
+    by = {r.doc_id: r for r in got if r.words or r.doc_id}
     ok = [(by[i].level or 0) >= 4 for i in range(300) if i % 3 == 1]
     assert np.mean(ok) > 0.95 and not any((by[i].level or 0) >= 4 for i in range(300) if i % 3 != 1)
     assert all(not by[i].is_prose and by[i].score is None for i in (900, 901, 902, 903, 904, 905))
@@ -393,7 +408,7 @@ def test_reading_levels(spark):
     found = {r.doc_id for r in level.advanced(level.reading_levels(docs, labels)).collect()}
     assert found == {i for i in by if by[i].is_prose and by[i].level >= 4}
     profile = level.level_profile(level.reading_levels(docs, labels), docs).collect()
-    assert sum(r.documents for r in profile) >= sum(r.is_prose for r in by.values())
+    assert sum(r.documents for r in profile) >= sum(r.is_prose for i, r in by.items() if i is not None)
 
 
 def test_levels_without_labels_or_documents(spark):
