@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,7 +39,8 @@ def local_session(cores: int = 8, app: str = "chunklake", **extra: str) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    Only where neither is set (tests on one machine) a temporary folder is made and recorded in the session.
+    Only where neither is set and the session runs on one machine (tests), a temporary folder is made and recorded in the session; on a
+    cluster this is an error, since executors would write to and read from different disks.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
@@ -45,6 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share: the session runs on {master}")
     made = "file://" + tempfile.mkdtemp(prefix="chunklake-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -58,6 +64,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df as a join's smaller side: counted, and broadcast up to `most` rows; beyond that merged, with both sides shuffled.
+
+    The planner weighs a written table by its bytes on disk, which an explode or a good compression leaves far below its size in
+    memory. So the rows are counted (from the files' footers, where df is a written table as it is) and the choice is stated. For narrow rows only.
+    """
+    return F.broadcast(df) if df.count() <= most else merged(df)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the data: never broadcast, whatever the planner takes its size for."""
+    return df.hint("merge")
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Remove the tables stage() wrote; only for folders of this machine."""
     root = shared_dir(spark)
