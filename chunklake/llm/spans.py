@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunklake.llm.bytesets import binary_parts, mix, rolling_hashes, stretches
-from chunklake.session import stage
+from chunklake.session import fitted, merged, stage
 
 LEAST = 256
 GRAM = 64
@@ -170,7 +170,7 @@ def shared_spans(files: DataFrame, ident: str = "file_id", data: str = "file_dat
     rows = files.filter(F.col(ident).isNotNull() & (F.octet_length(F.col(data)) >= LEAST)).select(F.col(ident).cast("long").alias("file_id"), F.col(data).alias("file_data"))
     seeds = stage(rows.mapInArrow(_seed_batches, _SEEDS), "seeds")
     several = seeds.groupBy("anchor").agg(F.min("file_id").alias("lo"), F.max("file_id").alias("hi")).filter("lo < hi").select("anchor")
-    live = stage(seeds.join(several, "anchor"), "live")
+    live = stage(seeds.join(merged(several), "anchor"), "live")
     kinds = stage(
         live.groupBy("anchor", "reach").agg(
             F.min("file_id").alias("lo"),
@@ -180,14 +180,14 @@ def shared_spans(files: DataFrame, ident: str = "file_id", data: str = "file_dat
         "kinds",
     )
     places = lambda df: df.select("*", F.explode(F.arrays_zip("starts", "repeats")).alias("at"))
-    equal = places(live.join(kinds.filter("lo < hi").select("anchor", "reach"), ["anchor", "reach"])).select(
+    equal = places(live.join(merged(kinds.filter("lo < hi").select("anchor", "reach")), ["anchor", "reach"])).select(
         "file_id", F.col("at.starts").cast("long").alias("a"), (F.col("at.starts") + F.col("at.repeats") - 1 + F.col("ahead") + LEAST).cast("long").alias("b")
     )
     unequal = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("lo") == F.col("hi")).alias("open")).filter("n > 1 and open").select("anchor", "n")
+    # Where each context is; its bytes are taken in the scan, if the places can be broadcast, else files are shuffled to them.
+    wanted = stage(kinds.join(merged(unequal), "anchor").select("anchor", "reach", "lo", "hi", "n", "one.*"), "wanted")
     around = stage(
-        kinds.join(unequal, "anchor")
-        .select("anchor", "reach", "lo", "hi", "n", "one.*")
-        .join(rows, "file_id")
+        rows.join(fitted(wanted), "file_id")
         .select("anchor", "reach", "lo", "hi", "n", F.substring(F.col("file_data"), F.col("start") + 1, F.col("ahead") + LEAST).alias("bytes")),
         "around",
     )
@@ -195,14 +195,14 @@ def shared_spans(files: DataFrame, ident: str = "file_id", data: str = "file_dat
     few = around.filter(F.col("n") <= hot).drop("n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_extend_sorted, found)
     windows = around.filter(F.col("n") > hot).drop("n").mapInArrow(_window_batches, "window long, anchor long, reach long, lo long, hi long, rel int")
     twice = windows.groupBy("window").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("window")
-    many = windows.filter("lo = hi").join(twice, "window").select("anchor", "reach", "rel", F.lit(LEAST).alias("length"))
-    extended = places(live.join(few.unionByName(many), ["anchor", "reach"])).select(
+    many = windows.filter("lo = hi").join(merged(twice), "window").select("anchor", "reach", "rel", F.lit(LEAST).alias("length"))
+    extended = places(live.join(merged(few.unionByName(many)), ["anchor", "reach"])).select(
         "file_id", (F.col("at.starts") + F.col("rel")).cast("long").alias("a"), (F.col("at.starts") + F.col("at.repeats") - 1 + F.col("rel") + F.col("length")).cast("long").alias("b")
     )
-    return merged(equal.unionByName(extended))
+    return unbroken(equal.unionByName(extended))
 
 
-def merged(pieces: DataFrame) -> DataFrame:
+def unbroken(pieces: DataFrame) -> DataFrame:
     """Overlapping and touching [a, b) of each file become one span."""
     w = Window.partitionBy("file_id").orderBy("a", "b")
     before = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -215,4 +215,4 @@ def shared_shares(files: DataFrame, ident: str = "file_id", data: str = "file_da
     spans = shared_spans(files, ident, data).groupBy("file_id").agg(F.count(F.lit(1)).alias("spans"), F.sum("span_bytes").alias("shared_bytes"))
     sizes = files.filter(F.col(ident).isNotNull()).groupBy(F.col(ident).cast("long").alias("file_id")).agg(F.max(F.coalesce(F.octet_length(F.col(data)), F.lit(0))).cast("long").alias("data_bytes"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return sizes.join(spans, "file_id", "left").select("file_id", "data_bytes", zero("spans"), zero("shared_bytes"), (F.coalesce("shared_bytes", F.lit(0)) / F.nullif("data_bytes", F.lit(0))).alias("share"))
+    return sizes.join(merged(spans), "file_id", "left").select("file_id", "data_bytes", zero("spans"), zero("shared_bytes"), (F.coalesce("shared_bytes", F.lit(0)) / F.nullif("data_bytes", F.lit(0))).alias("share"))
