@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunklake.llm.bytesets import binary_parts, mix, rolling_hashes
-from chunklake.session import stage
+from chunklake.session import fitted, merged, stage
 
 GRAM = 16
 LEAST_BYTES = 64
@@ -25,8 +25,12 @@ ROWS = 4
 BANDS = SLOTS // ROWS
 _CHASE = 6
 _BATCH_BYTES = 1 << 20
-#: Files with one band value beyond which their pairs are made by several tasks.
-BLOCK = 256
+#: Files with one band value that meet in one list; more of them make several lists, which meet by twos.
+BLOCK = 128
+#: Band values that are spread over several tasks: those that approx_top_k finds with more rows than this, in so many parts.
+HOT_ROWS, SALTS = 10_000, 64
+#: Bytes of contents that one meeting's task holds the sets of.
+MEETING_BYTES = 16 << 20
 
 
 def _draw(x: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,21 +129,58 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sig = signatures(data, offsets[i : j + 1]).reshape(j - i, BANDS, ROWS)
             band = mix((mix(sig.copy()) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             lists = pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, j - i), rb.column(1).slice(i, j - i), pa.ListArray.from_arrays(lists, pa.array(band.ravel().view(np.int64)))], names=["file_id", "content", "bands"])
+            yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(i, j - i) for c in (0, 1, 3)), pa.ListArray.from_arrays(lists, pa.array(band.ravel().view(np.int64)))], names=["file_id", "content", "size", "bands"])
             i = j
 
 
-def _similarity_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(col: pa.Array) -> list[np.ndarray]:
-        offsets, data = binary_parts(col)
-        return [gram_set(data[a:b]) for a, b in zip(offsets, offsets[1:])]
-
-    for rb in batches:
-        out = np.zeros(rb.num_rows)
-        for i, (a, b) in enumerate(zip(sets(rb.column(2)), sets(rb.column(3)))):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[i] = both / max(1, len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(out)], names=["a", "b", "similarity"])
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats have in common."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(few):
+        return 0
+    at = np.searchsorted(many, few)
+    at[at == len(many)] = 0
+    return int((many[at] == few).sum())
+
+
+def _meeting_batches(least: float):
+    """Rows sorted by meeting and kind: a meeting's pairs, then its contents. Each content's set is made once, and all pairs are answered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs, sets = None, [], {}
+
+        def answered() -> pa.RecordBatch:
+            out = []
+            for a, b in pairs:
+                best = 0.0
+                for x in sets.get(a, ()):
+                    for y in sets.get(b, ()):
+                        few, many = sorted((len(x), len(y)))
+                        # Sets of very different sizes can't be that similar.
+                        if few and few >= least * many:
+                            both = shared(x, y)
+                            best = max(best, both / (few + many - both))
+                if best >= least:
+                    out.append((a, b, best))
+            cols = list(zip(*out)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+
+        for rb in batches:
+            meeting, a, b = (rb.column(i).to_pylist() for i in (0, 2, 3))
+            offsets, data = binary_parts(rb.column(4))
+            for i, m in enumerate(meeting):
+                if m != now:
+                    if pairs:
+                        yield answered()
+                    now, pairs, sets = m, [], {}
+                if b[i] is not None:
+                    pairs.append((a[i], b[i]))
+                else:
+                    sets.setdefault(a[i], []).append(gram_set(data[offsets[i] : offsets[i + 1]]))
+        if pairs:
+            yield answered()
+
+    return run
 
 
 def contents(files: DataFrame, ident: str = "file_id", data: str = "file_data") -> tuple[DataFrame, DataFrame]:
@@ -148,65 +189,118 @@ def contents(files: DataFrame, ident: str = "file_id", data: str = "file_data")
     rows = files.filter(F.col(ident).isNotNull() & (F.octet_length(F.col(data)) >= LEAST_BYTES)).select(
         F.col(ident).cast("long").alias("file_id"), F.unhex(F.md5(F.col(data))).alias("content"), F.col(data).alias("data")
     )
-    signed = rows.mapInArrow(_band_batches, "file_id long, content binary, bands array<long>")
-    classes = signed.groupBy("content").agg(F.min(F.struct("file_id", "bands")).alias("one"), F.countDistinct("file_id").alias("members"))
-    return rows, stage(classes.select("content", F.col("one.file_id").alias("rep"), "members", "one.bands"), "classes")
+    signed = rows.select("file_id", "content", "data", F.octet_length("data").cast("long").alias("size")).mapInArrow(_band_batches, "file_id long, content binary, size long, bands array<long>")
+    classes = signed.groupBy("content").agg(F.min(F.struct("file_id", "bands")).alias("one"), F.countDistinct("file_id").alias("members"), F.max("size").alias("size"))
+    return rows, stage(classes.select("content", F.col("one.file_id").alias("rep"), "members", "size", "one.bands"), "classes")
+
+
+def _list_batches(hot: np.ndarray):
+    """Rows (band, salt, rep) sorted by band and salt: the members of each repeated band value in lists of at most BLOCK, one after
+    the other, so that a task holds one list whatever a value's number of members. `many`: the value may have other lists."""
+    schema = pa.schema([("band", pa.int64()), ("block", pa.int64()), ("many", pa.bool_()), ("reps", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, blocks, out = None, np.zeros(0, np.int64), 0, []
+
+        def close(reps: np.ndarray, whole: bool) -> None:
+            many = blocks > 0 or not whole or now[2]
+            if len(reps) and (many or len(reps) > 1):
+                out.append((now[0], (now[1] << 32) + blocks, many, reps))
+
+        for rb in batches:
+            band, salt, rep = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(band):
+                continue
+            start = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (salt[1:] != salt[:-1])])
+            size = np.diff(np.r_[start, len(band)])
+            hot_here = np.isin(band[start], hot)
+            look = (size > 1) | hot_here
+            look[[0, -1]] = True
+            for i in np.flatnonzero(look):
+                key = (int(band[start[i]]), int(salt[start[i]]), bool(hot_here[i]))
+                reps = rep[start[i] : start[i] + size[i]]
+                if key != now:
+                    if now is not None:
+                        close(held, True)
+                    now, held, blocks = key, np.zeros(0, np.int64), 0
+                held = np.r_[held, reps]
+                while len(held) > BLOCK:
+                    close(held[:BLOCK], False)
+                    held, blocks = held[BLOCK:], blocks + 1
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if now is not None:
+            close(held, True)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of representatives that agree in a band.
+    """(a, b, meeting): distinct pairs a < b of representatives that agree in a band, each with one of the meetings where they do.
 
-    A band value's members are gathered in lists of at most BLOCK, by a salt that grows with their number; lists meet
-    pairwise, and each meeting is a row of its own that any task can take. So no task gets an unbounded group, and no pair is
-    lost. Texts that share a band have mostly a high similarity, so that the work follows the size of the result.
+    A band value's members are gathered in lists of at most BLOCK, which a task reads off its sorted rows; values with more than
+    HOT_ROWS members (found by a sketch of bounded size) are spread over SALTS parts. The lists of one value meet by twos, and each
+    meeting is a row of its own that any task can take. So no task gets an unbounded group, and no pair is lost. Texts that share a
+    band have mostly a high similarity, so that the work follows the size of the result.
     """
     rows = classes.select("rep", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > BLOCK)
-    few = rows.join(large, "band", "left").select("rep", "band", F.coalesce(F.ceil(F.col("n") / (BLOCK / 2)), F.lit(1)).cast("int").alias("blocks"))
-    lists = (
-        few.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .groupBy("band", "blocks", "block")
-        .agg(F.collect_set("rep").alias("reps"))
-        .filter((F.size("reps") > 1) | (F.col("blocks") > 1))
-    )
-    within = lists.filter(F.size("reps") > 1).select(F.col("reps").alias("x"), F.col("reps").alias("y"))
-    big = lists.filter("blocks > 1")
-    across = big.alias("p").join(big.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.block") < F.col("q.block"))).select(F.col("p.reps").alias("x"), F.col("q.reps").alias("y"))
-    pairs = within.unionByName(across).select(F.explode("x").alias("i"), "y").select("i", F.explode("y").alias("k")).filter("i <> k")
-    return pairs.select(F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b")).distinct()
-
-
-def verified(rows: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose sets of 16-byte strings are that similar, computed from the data."""
-    data = rows.select("file_id", "data")
-    left = pairs.join(data.withColumnRenamed("file_id", "a").withColumnRenamed("data", "da"), "a")
-    both = left.join(data.withColumnRenamed("file_id", "b").withColumnRenamed("data", "db"), "b").select("a", "b", "da", "db")
-    return both.mapInArrow(_similarity_batches, "a long, b long, similarity double").filter(F.col("similarity") >= least)
+    top = rows.agg(F.expr("approx_top_k(band, 200, 10000)").alias("top")).first()["top"] or []
+    hot = [r["item"] for r in top if r["count"] > HOT_ROWS]
+    salt = F.when(F.col("band").isin(hot), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
+    spread = rows.select("band", salt.cast("long").alias("salt"), "rep").repartition("band", "salt").sortWithinPartitions("band", "salt", "rep")
+    lists = stage(spread.mapInArrow(_list_batches(np.array(hot, dtype=np.int64)), "band long, block long, many boolean, reps array<long>"), "lists")
+    within = lists.filter(F.size("reps") > 1).select(F.xxhash64("band", "block").alias("meeting"), F.col("reps").alias("x"), F.col("reps").alias("y"))
+    big = lists.filter("many")
+    across = big.alias("p").join(merged(big).alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.block") < F.col("q.block"))).select(F.xxhash64("p.band", "p.block", "q.block").alias("meeting"), F.col("p.reps").alias("x"), F.col("q.reps").alias("y"))
+    pairs = within.unionByName(across).select("meeting", F.explode("x").alias("i"), "y").select("meeting", "i", F.explode("y").alias("k")).filter("i <> k")
+    # Copies of one text agree in many bands: the least meeting is mostly one for a whole group of them.
+    return pairs.groupBy(F.least("i", "k").alias("a"), F.greatest("i", "k").alias("b")).agg(F.min("meeting").alias("meeting"))
+
+
+def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs whose sets of 16-byte strings are that similar, computed from the data.
+
+    Pairs are verified by meeting: a content comes to each meeting once, not once for each of its pairs, and its set is made once
+    there. A meeting whose contents are larger than MEETING_BYTES is cut into parts, so that a task's memory is bounded.
+    """
+    pairs = stage(pairs, "pairs")
+    members = pairs.select("meeting", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sizes = classes.groupBy("rep").agg(F.max("size").alias("size"))
+    heavy = stage(members.join(merged(sizes), "rep").groupBy("meeting").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > MEETING_BYTES), "heavy")
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce(F.ceil(2 * F.col("bytes") / MEETING_BYTES), F.lit(1)))
+    placed = stage(pairs.join(fitted(heavy), "meeting", "left").select(F.xxhash64("meeting", part("a"), part("b")).alias("meeting"), "a", "b"), "meetings")
+    wanted = stage(placed.select("meeting", F.explode(F.array("a", "b")).alias("file_id")).distinct(), "wanted")
+    data = rows.select("file_id", "data").join(fitted(wanted), "file_id")
+    flow = placed.select("meeting", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("data")).unionByName(data.select("meeting", F.lit(1).alias("kind"), F.col("file_id").alias("a"), F.lit(None).cast("long").alias("b"), "data"))
+    return flow.repartition("meeting").sortWithinPartitions("meeting", "kind").mapInArrow(_meeting_batches(least), "a long, b long, similarity double")
 
 
 def similar_classes(files: DataFrame, least: float = 0.6, ident: str = "file_id", data: str = "file_data") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): links are pairs (a, b, similarity) between representatives of different contents."""
     rows, classes = contents(files, ident, data)
-    return rows, classes, stage(verified(rows, candidates(classes), least), "links")
+    return rows, classes, stage(verified(rows, classes, candidates(classes), least), "links")
 
 
-def similar_pairs(files: DataFrame, least: float = 0.6, expand: int = 64, ident: str = "file_id", data: str = "file_data") -> DataFrame:
+def similar_pairs(files: DataFrame, least: float = 0.6, expand: int | None = 64, ident: str = "file_id", data: str = "file_data") -> DataFrame:
     """(file_id_a, file_id_b, similarity), a < b: files of at least 64 bytes whose sets of 16-byte strings have a Jaccard
     similarity of at least `least`. Each pair counts by its own similarity, exactly computed.
 
     Copies have similarity 1. A class of up to `expand` equal contents stands with all its members; of a larger one only the
     smallest id pairs with other contents and with each copy, so that k copies give k - 1 pairs and no link between
-    different contents is lost (similar_groups has the membership). Null, empty and shorter data and null ids are in no
+    different contents is lost (similar_groups has the membership). With expand=None all classes stand with all members. Null, empty and shorter data and null ids are in no
     pair; rows with equal ids are one file. Pairs are found if they agree in one of 48 bands of 4 slots: at 0.6 99.87 %.
     """
     rows, classes, links = similar_classes(files, least, ident, data)
-    many = rows.select("file_id", "content").distinct().join(classes.filter("members > 1").select("content", "rep", "members"), "content").select("rep", "file_id", "members")
-    small = many.filter(F.col("members") <= expand).select("rep", "file_id")
+    many = stage(rows.select("file_id", "content").join(fitted(classes.filter("members > 1").select("content", "rep", "members")), "content").select("rep", "file_id", "members").distinct(), "members")
+    few = F.lit(True) if expand is None else F.col("members") <= expand
+    small = many.filter(few).select("rep", "file_id")
     x, y = small.alias("x"), small.alias("y")
-    copies = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.file_id") < F.col("y.file_id"))).select(F.col("x.file_id").alias("a"), F.col("y.file_id").alias("b"))
-    star = many.filter((F.col("members") > expand) & (F.col("rep") != F.col("file_id"))).select(F.col("rep").alias("a"), F.col("file_id").alias("b"))
-    side = lambda df, c: df.join(small.select(F.col("rep").alias(c), F.col("file_id").alias(f"{c}_member")), c, "left").withColumn(f"{c}_member", F.coalesce(f"{c}_member", c))
+    copies = x.join(merged(y), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.file_id") < F.col("y.file_id"))).select(F.col("x.file_id").alias("a"), F.col("y.file_id").alias("b"))
+    star = many.filter(~few & (F.col("rep") != F.col("file_id"))).select(F.col("rep").alias("a"), F.col("file_id").alias("b"))
+    side = lambda df, c: df.join(fitted(small.select(F.col("rep").alias(c), F.col("file_id").alias(f"{c}_member"))), c, "left").withColumn(f"{c}_member", F.coalesce(f"{c}_member", c))
     near = side(side(links, "a"), "b").select(F.least("a_member", "b_member").alias("a"), F.greatest("a_member", "b_member").alias("b"), "similarity")
     same = copies.unionByName(star).withColumn("similarity", F.lit(1.0))
     return same.unionByName(near).filter("a <> b").groupBy(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b")).agg(F.max("similarity").alias("similarity"))
@@ -233,12 +327,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """(node, root): each linked node with the smallest node of its component.
 
     Union-find within partitions leaves at most one link for a node and partition; then nodes point in turn at the smallest of
     their neighbours and at their neighbours' smallest, until nothing changes. Each round is written to the shared folder;
-    only a count reaches the driver.
+    only a count reaches the driver. The rounds grow with the logarithm of the longest path; should `rounds` not do, an error is raised.
     """
     edges = stage(links.select(F.col(a).alias("x"), F.col(b).alias("y")).mapInArrow(_forest, "node long, root long"), "forest")
     before = -1
@@ -246,15 +340,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         # Large star, then small star: both keep components whole and only ever lower the ids pointed at.
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         lowest = both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("low"))
-        large = both.join(lowest, "node").filter(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("low").alias("root"))
+        large = both.join(merged(lowest), "node").filter(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("low").alias("root"))
         down = large.filter("node <> root").distinct()
         least = down.groupBy("node").agg(F.min("root").alias("low"))
-        small = down.join(least, "node").select(F.explode(F.array(F.struct("node", F.col("low").alias("root")), F.struct(F.col("root").alias("node"), F.col("low").alias("root")))).alias("e")).select("e.*").filter("node <> root").distinct()
+        small = down.join(merged(least), "node").select(F.explode(F.array(F.struct("node", F.col("low").alias("root")), F.struct(F.col("root").alias("node"), F.col("low").alias("root")))).alias("e")).select("e.*").filter("node <> root").distinct()
         edges = stage(small, "star")
         n, total = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")), F.lit(0))).first()
         if (n, total) == before:
             break
         before = (n, total)
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return edges.groupBy("node").agg(F.min("root").alias("root"))
 
 
@@ -264,8 +360,8 @@ def similar_groups(files: DataFrame, least: float = 0.6, ident: str = "file_id",
     rows, classes, links = similar_classes(files, least, ident, data)
     root = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    member = rows.select("file_id", "content").join(classes.select("content", "rep"), "content").groupBy("file_id").agg(F.min("rep").alias("rep"))
-    named = member.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
+    member = rows.select("file_id", "content").join(merged(classes.select("content", "rep")), "content").groupBy("file_id").agg(F.min("rep").alias("rep"))
+    named = member.join(merged(root.select(F.col("node").alias("rep"), "root")), "rep", "left").join(merged(degree), "rep", "left")
     out = named.select("file_id", F.col("rep").alias("content_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    alone = files.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("file_id")).distinct().join(out.select("file_id"), "file_id", "left_anti")
+    alone = files.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("file_id")).distinct().join(merged(out.select("file_id")), "file_id", "left_anti")
     return out.unionByName(alone.select("file_id", F.col("file_id").alias("content_id"), F.col("file_id").alias("group_id"), F.lit(0).cast("long").alias("links")))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunklake.functions.keys import canonical_key_sql
 from chunklake.llm import level, neardup, packing, seen, spans, split, tokens
-from chunklake.session import table
+from chunklake.operators import verify
+from chunklake.session import merged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,22 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return got.select("item_kind", "item_id", "piece_no", "piece_start", "piece_bytes", "ended_at", F.md5("piece").alias("piece_md5"))
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each item put together from its pieces again, and whether all pieces fit, begin with the last 64 bytes of the one before, and follow each other."""
+    got = split.pieces(_items(spark, d))
+    w = Window.partitionBy("item_kind", "item_id", "digest").orderBy("piece_no")
+    n, first = F.octet_length("piece"), F.col("piece_no") == 0
+    limit = F.when(F.col("item_kind") == "file", split.FILE_LIMIT).otherwise(split.CHUNK_LIMIT)
+    begins = F.substring("piece", 1, split.OVERLAP).eqNullSafe(F.lag(F.expr(f"substring(piece, -{split.OVERLAP}, {split.OVERLAP})")).over(w))
+    follows = (F.col("piece_start") + split.OVERLAP).eqNullSafe(F.lag("piece_end").over(w))
+    new = F.when(first, F.col("piece")).otherwise(F.expr(f"substring(piece, {split.OVERLAP + 1}, octet_length(piece))"))
+    key = F.xxhash64("item_kind", "item_id", "digest").alias("k")
+    checked = got.select(key, "item_kind", "item_id", "piece_no", new.alias("new"), ((n <= limit) & (n == F.col("piece_bytes")) & (first | begins & follows)).alias("ok"))
+    whole = verify.digests(checked.select("k", F.col("piece_no").alias("o"), F.lit(None).cast("string").alias("h"), "new"), "k", "o", "h", "new")
+    fits = checked.groupBy("k", "item_kind", "item_id").agg(F.min("ok").alias("pieces_ok"))
+    return fits.join(merged(whole), F.col("k") == F.col("file_id")).select("item_kind", "item_id", F.col("size").alias("bytes"), "md5", "pieces_ok")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "filedata"))
 
@@ -60,6 +77,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "filedata")).select("file_id_a", "file_id_b")
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all pairs of copies, however many there are."""
+    return neardup.similar_pairs(table(spark, d, "filedata"), expand=None).select("file_id_a", "file_id_b")
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_groups(table(spark, d, "filedata"))
 
@@ -101,7 +123,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_answers, p1_error_rate, p1_error_rate_tight, p2_found, p2_pieces, p4_found, p4_shares, p5_found, p5_groups, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_levels, p8_profile)
+    named = (p1_found, p1_answers, p1_error_rate, p1_error_rate_tight, p2_found, p2_pieces, p2_rebuilt, p4_found, p4_shares, p5_found, p5_pairs, p5_groups, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in named}
 
 
@@ -128,8 +150,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _SPANS,
         "p5_found": _PAIRS,
+        "p5_pairs": _PAIRS,
         "p1_found": f"{_KEYED} SELECT msg_id FROM r WHERE n > 1 OR k IN (SELECT chunk_hash FROM chunkindex)",
         "p1_answers": f"{_KEYED} SELECT msg_id, n > 1 OR k IN (SELECT chunk_hash FROM chunkindex) AS seen FROM r UNION ALL SELECT msg_id, NULL FROM m WHERE k IS NULL",
         "p2_found": "SELECT 'file' AS item_kind, file_id AS item_id FROM filedata WHERE octet_length(file_data) > 8192 "
         "UNION SELECT 'chunk', msg_id FROM chunkmessage WHERE octet_length(chunk_data) > 1024",
+        "p2_rebuilt": "SELECT 'file' AS item_kind, file_id AS item_id, CAST(octet_length(file_data) AS BIGINT) AS bytes, md5(file_data) AS md5, true AS pieces_ok FROM filedata WHERE octet_length(file_data) > 8192 "
+        "UNION SELECT 'chunk', msg_id, octet_length(chunk_data), md5(chunk_data), true FROM chunkmessage WHERE octet_length(chunk_data) > 1024",
     }

@@ -36,8 +36,9 @@ def brute_seen(msgs, earlier):
     return out
 
 
-@pytest.mark.parametrize("buckets", [1_000_000, 50])
-def test_seen_before_like_brute_force(spark, buckets):
+@pytest.mark.parametrize("buckets", [1_000_000, 20])
+def test_seen_before_like_brute_force(spark, monkeypatch, buckets):
+    monkeypatch.setattr(seen, "TASK_ROWS", 200)
     rng = random.Random(1)
     msgs = [(i, f"{rng.choice([7, 7, 7, rng.randrange(400)]):x}", rng.randrange(200)) for i in range(3000)] + [(9000 + i, None, 5) for i in range(5)]
     df = spark.createDataFrame([(m, None if k is None else rng.choice(["", "0x", " 00"]) + k, "clash", 1, 2) for m, k, _ in msgs], "msg_id long, chunk_hash string, kind string, bucket int, key int")
@@ -66,8 +67,8 @@ def test_bloom_error_rate_and_memory():
         b.add(keys)
         assert b.has(keys).all()
         wrong = b.has(rng.integers(0, 2**63, 200_000).astype(np.uint64) | np.uint64(1 << 63)).mean()
-        assert wrong < 1.5 * rate
-        assert b.words.nbytes <= seen.bits_per_key(rate) / 8 * len(keys) + 64
+        assert rate / 1.5 < wrong < 1.5 * rate
+        assert b.words.nbytes <= seen.design(rate)[0] / 8 * len(keys) + 64
     assert seen.BlockedBloom(0).seen_then_add(np.zeros(0, np.uint64)).tolist() == []
     assert seen.BlockedBloom(10).seen_then_add(np.array([5, 5, 6], np.uint64)).tolist() == [False, True, False]
 
@@ -77,6 +78,28 @@ def test_error_rate_report(spark):
     r = seen.error_rate(df, probes=5000).first()
     assert (r.probes, r.false_answers, r.messages, r.seen, r.new) == (5000, 0, 2000, 500, 1500)
     assert seen.error_rate(df.filter("false"), probes=0).first().measured_rate is None
+    many = spark.range(200_000).select(F.col("id").alias("msg_id"), F.when(F.col("id") % 2 == 0, F.lit("77")).otherwise(F.hex(F.col("id") % 80_000)).alias("chunk_hash"), F.timestamp_seconds("id").alias("received_at"))
+    r = seen.error_rate(many, probes=200_000, false_positives=1e-2, keys_per_filter=5000).first()
+    assert 0.003 < r.measured_rate < 0.03, "filters are sized by distinct keys, whatever share a hot key has"
+    assert r.messages == 200_000 and 100_000 < r.asked < 101_000, "rows of the hot key are decided, all others asked for"
+
+
+def test_hot_keys_stay_bounded_and_right():
+    rng = np.random.default_rng(4)
+    hot, told, met = seen.HotKeys(most=3), {}, 0
+    for _ in range(40):
+        key = np.where(rng.random(400) < 0.6, rng.integers(0, 6, 400), rng.integers(100, 10_000, 400))
+        at, ids = rng.integers(0, 50, 400), rng.permutation(400)
+        decided = hot.settle(np.ones(400, np.int8), at, ids, key)
+        for i in np.lexsort((ids, at)):
+            if decided[i]:
+                batch = [(at[j], ids[j]) for j in np.flatnonzero(key == key[i]) if j != i]
+                assert min([told.get(key[i], (99, 0)), *batch]) <= (at[i], ids[i])
+        for i in range(400):
+            told[key[i]] = min(told.get(key[i], (99, 0)), (at[i], ids[i]))
+        met += decided.sum()
+        assert len(hot.key) <= 3
+    assert met > 5000
 
 
 # Problem 2
@@ -121,8 +144,39 @@ def test_pieces(spark):
 @given(st.lists(st.tuples(st.integers(1, 4999), st.integers(1, 6)), max_size=60), st.integers(1, 5000))
 def test_cuts_keep_the_limit(ends, whole):
     ends = sorted((p, k) for p, k in ends if p < whole)
-    cuts, _ = split.choose_cuts(np.array([p for p, _ in ends], dtype=np.int64), np.array([k for _, k in ends], dtype=np.int64), whole, 256)
-    assert cuts[-1] == whole and cuts[0] <= 256 and all(0 < b - a <= 256 - split.OVERLAP for a, b in zip(cuts, cuts[1:]))
+    place, kind = (np.array([e[i] for e in ends], dtype=np.int64) for i in (0, 1))
+    added, kinds = split.choose_cuts(place, kind, whole, 256)
+    assert sum(added) == whole and added[0] <= 256 and all(0 < n <= 256 - split.OVERLAP for n in added[1:])
+    base = 0
+    for n, k in zip(added[:-1], kinds):
+        reach = base + (256 - split.OVERLAP if base else 256)
+        half = base + (reach - base) // 2
+        late, early = ([e for e in ends if a < e[0] <= b] for a, b in ((half, reach), (base, half)))
+        fit = late or early
+        best = max((e[1] for e in fit), default=0)
+        last = max((p for p, x in fit if x == best), default=reach)
+        assert (base + n, k) == ((last, best) if last - base > split.OVERLAP else (reach, 0)), "the last end of the strongest kind that fits"
+        base += n
+    assert split.choose_cuts(*split.useful(place, kind, (256 - split.OVERLAP) // 2), whole, 256) == (added, kinds)
+
+
+def test_pieces_of_files(spark, tmp_path):
+    rng = random.Random(9)
+    text = "".join(f"Line {i} {'y' * rng.randrange(90)}.\n" for i in range(1200)).encode()
+    (tmp_path / "a.txt").write_bytes(text)
+    (tmp_path / "b.bin").write_bytes(rng.randbytes(50_000))
+    (tmp_path / "small").write_bytes(b"x" * 8192)
+    (tmp_path / "none").write_bytes(b"")
+    got = split.pieces_of_files(spark, [str(tmp_path)], range_bytes=1 << 14).collect()
+    by = {}
+    for p in got:
+        by.setdefault(p.item_id, []).append(p)
+    assert len(by) == 2
+    own = spark.createDataFrame([(1, bytearray(text))], "file_id long, file_data binary")
+    want = sorted(split.pieces(split.items_of(own)).collect(), key=lambda p: p.piece_no)
+    same = next(sorted(v, key=lambda p: p.piece_no) for v in by.values() if bytes(min(v, key=lambda p: p.piece_no).piece[:4]) == b"Line")
+    check_pieces(text, 8192, same)
+    assert [(p.piece_start, p.piece_end, p.ended_at) for p in same] == [(p.piece_start, p.piece_end, p.ended_at) for p in want]
 
 
 # Problem 4
@@ -218,10 +272,11 @@ def test_similar_pairs_like_brute_force(spark):
 
 
 def test_large_buckets_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    for name, value in (("BLOCK", 4), ("HOT_ROWS", 2), ("SALTS", 3), ("MEETING_BYTES", 3000)):
+        monkeypatch.setattr(neardup, name, value)
     data = near_files()
     small = rows(neardup.similar_pairs(files_of(spark, data)), "file_id_a", "file_id_b")
-    monkeypatch.setattr(neardup, "BLOCK", 256)
+    monkeypatch.undo()
     assert small == rows(neardup.similar_pairs(files_of(spark, data)), "file_id_a", "file_id_b")
 
 
@@ -230,6 +285,8 @@ def test_many_copies_make_a_star(spark):
     data = [(i, d) for i in range(20)] + [(99, d[:480] + b"?" * 20), (99, d[:480] + b"?" * 20)]
     got = rows(neardup.similar_pairs(files_of(spark, data), expand=5), "file_id_a", "file_id_b")
     assert got == [(0, i) for i in [*range(1, 20), 99]]
+    whole = rows(neardup.similar_pairs(files_of(spark, data), expand=None), "file_id_a", "file_id_b")
+    assert len(whole) == 20 * 19 // 2 + 20 and set(got) <= set(whole)
     groups = neardup.similar_groups(files_of(spark, [*data, (100, None)])).collect()
     assert {r.file_id: (r.content_id, r.group_id) for r in groups} == {i: (0, 0) for i in range(20)} | {99: (99, 0), 100: (100, 100)}
 
@@ -240,6 +297,8 @@ def test_components_of_chains(spark):
     got = dict(rows(neardup.components(df)))
     assert all(got[i] == 0 for i in range(1, 201)) and got[1001] == 1000 and got[5000] == 4000
     assert rows(neardup.components(df.filter("false"))) == []
+    with pytest.raises(RuntimeError, match="not settled"):
+        neardup.components(df, rounds=1)
 
 
 def test_long_files_are_signed_in_parts():
