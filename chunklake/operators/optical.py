@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from chunklake.functions import disc
 from chunklake.functions.hashing import chunk_hash
-from chunklake.operators.chunking import content_chunks, run_blocks, sectors_of
+from chunklake.operators.chunking import run_blocks, sectors_of, stream_chunks
+from chunklake.operators.concat import concatenated
 from chunklake.operators.joins import asof
 from chunklake.operators.runs import change_points, runs
 
@@ -48,19 +49,22 @@ def audio_blocks(mapped: DataFrame, ident: str = "disc") -> DataFrame:
     return run_blocks(r, "run_start", "run_length").select(ident, "run_no", "block_no", "block_start", "block_count", "kind")
 
 
-def user_stream(mapped: DataFrame, ident: str = "disc") -> DataFrame:
-    """(disc, run_no, run_start, kind, stream): the user data of each run of data sectors, in order. A run is one image's at most."""
-    r = kind_runs(mapped, ident).filter(~F.col("kind").isin(*AUDIO_KINDS)).select(ident, "run_no", "run_start", F.col("kind").alias("run_kind"), (F.col("run_start") + F.col("run_length")).alias("run_end"))
+def user_sectors(mapped: DataFrame, ident: str = "disc") -> DataFrame:
+    """(disc, run_no, run_start, kind, sector_idx, user): the user data of each sector of the runs of data sectors."""
+    r = kind_runs(mapped, ident).filter(~F.col("kind").isin(*AUDIO_KINDS)).select(ident, "run_no", "run_start", (F.col("run_start") + F.col("run_length")).alias("run_end"))
     # Each sector meets the last run that began at or before it; the runs of the audio lie between.
     hit = asof(mapped, r.select(ident, "run_start", F.struct("run_no", "run_start", "run_end").alias("run")), [ident], "sector_idx", "run_start", "run")
-    rows = hit.filter(F.col("run").isNotNull() & (F.col("sector_idx") < F.col("run.run_end"))).select(ident, "run.run_no", "run.run_start", "kind", "sector_idx", disc.user_data(F.col("sector"), F.col("kind")).alias("u"))
-    ordered = F.array_sort(F.collect_list(F.struct("sector_idx", "u")))
-    return rows.groupBy(ident, "run_no", "run_start", "kind").agg(ordered.alias("p")).select(ident, "run_no", "run_start", "kind", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["u"])), "")).alias("stream"))
+    return hit.filter(F.col("run").isNotNull() & (F.col("sector_idx") < F.col("run.run_end"))).select(ident, "run.run_no", "run.run_start", "kind", "sector_idx", disc.user_data(F.col("sector"), F.col("kind")).alias("user"))
+
+
+def user_stream(mapped: DataFrame, ident: str = "disc") -> DataFrame:
+    """(disc, run_no, run_start, kind, stream): the user data of each run, one after the other, for runs that fit a row (2 GiB)."""
+    return concatenated(user_sectors(mapped, ident), [ident, "run_no", "run_start", "kind"], "sector_idx", "user", "stream")
 
 
 def user_chunks(mapped: DataFrame, ident: str = "disc", window: int = 8192, level: int = 0) -> DataFrame:
-    """Content-defined chunks of each run's user data; the chunker starts anew at each run."""
-    return content_chunks(user_stream(mapped, ident), "stream", [ident, "run_no"], window, level)
+    """Content-defined chunks of each run's user data; the chunker starts anew at each run. Sectors stream through: no run is one value."""
+    return stream_chunks(user_sectors(mapped, ident), [ident, "run_no"], "sector_idx", "user", window, level)
 
 
 def exceptions(mapped: DataFrame, ident: str = "disc") -> DataFrame:
@@ -168,6 +172,6 @@ def block_hashes(mapped: DataFrame, blocks: DataFrame, ident: str = "disc") -> D
     """(disc, block_start, block_count, block_hash, block_data): the audio blocks' bytes under their seeded hash."""
     b = blocks.select(ident, "block_start", F.struct("block_start", "block_count").alias("block"))
     hit = asof(mapped.filter(F.col("kind").isin(*AUDIO_KINDS)), b, [ident], "sector_idx", "block_start", "block")
-    parts = hit.groupBy(ident, "block.block_start", "block.block_count").agg(F.array_sort(F.collect_list(F.struct("sector_idx", "sector"))).alias("p"))
-    joined = parts.select(ident, "block_start", "block_count", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["sector"])), "")).alias("block_data"))
+    rows = hit.select(ident, "block.block_start", "block.block_count", "sector_idx", "sector")
+    joined = concatenated(rows, [ident, "block_start", "block_count"], "sector_idx", "sector", "block_data")
     return joined.withColumn("block_hash", chunk_hash(F.col("block_data")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunklake.functions.hashing import hash_hex
+from chunklake.operators.concat import concatenated
 
 
 def with_chunks(manifest: DataFrame, chunks: DataFrame, key: str = "chunk_hash", data: str = "chunk_data") -> DataFrame:
@@ -18,9 +19,8 @@ def with_chunks(manifest: DataFrame, chunks: DataFrame, key: str = "chunk_hash",
 
 
 def reassembled(rows: DataFrame, file: str = "file_id", offset: str = "chunk_offset", data: str = "chunk_data") -> DataFrame:
-    """(file, content): each file's chunks, one after the other. Natively, for files that fit a row; digests() takes any size."""
-    parts = rows.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(offset).alias("o"), F.col(data).alias("d")))).alias("p"))
-    return parts.select(file, F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["d"])), "")).alias("content"))
+    """(file, content): each file's chunks, one after the other, for files that fit a row; digests() takes any size."""
+    return concatenated(rows, [file], offset, data, "content")
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
