@@ -19,10 +19,11 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("compress")
     c.add_argument("input", nargs="+")
     c.add_argument("-o", "--output", required=True)
-    for name, kind in (("window", str), ("dictionary", str), ("level", int), ("hash_bits", int), ("normalisation", int), ("tune_timeout", float)):
+    for name, kind in (("window", str), ("dictionary", str), ("dictionary_sample", str), ("level", int), ("hash_bits", int), ("normalisation", int), ("tune_timeout", float)):
         c.add_argument(f"--{name.replace('_', '-')}", type=kind)
     for name in ("auto_tune", "optimise_dictionary", "optical", "force"):
         c.add_argument(f"--{name.replace('_', '-')}", action="store_true", default=None)
+    c.add_argument("--volumes", action="store_true", help="leave the volumes that tasks wrote beside the archive, instead of one file")
     i = sub.add_parser("info")
     i.add_argument("archive")
     i.add_argument("--json", action="store_true", default=None)
@@ -55,16 +56,18 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import functions as F
 
     from chunklake.plans import compress, discs, extract
-    from chunklake.sources.archive import DISC, read_header
+    from chunklake.sources.archive import DISC, assemble, read_header
     from chunklake.sources.files import read_files
 
     images = a.mode != "compress" and read_header(a.archive)["format_id"] == DISC
     if a.mode == "compress" and s.optical:
         found, tracks, lists = discs.discs_of_folders(spark, a.input)
         print(json.dumps(discs.compress_discs(found, a.output, s, tracks, lists)))
+        a.volumes or assemble(a.output)
     elif a.mode == "compress":
         files = read_files(spark, a.input).select(F.col("path").alias("file_id"), F.col("name").alias("file_name"), "content")
         print(json.dumps(compress.compress(files, a.output, s)))
+        a.volumes or assemble(a.output)
     elif a.mode == "info":
         toc = extract.listing(spark, a.archive)
         if s.json:

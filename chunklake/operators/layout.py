@@ -57,6 +57,8 @@ def table_of_contents(files: DataFrame, name: str, size: str, ident: str) -> Dat
 def strided_sample(lengths: DataFrame, cap: int, key: str = "chunk_hash", length: str = "length") -> DataFrame:
     """A training sample: of the hashes in order every ceil(total / cap)-th, as long as the sum stays within the cap."""
     total = lengths.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
+    if total <= cap:
+        return lengths
     step = max(1, -(-int(total) // cap))
     one = global_running_sum(lengths.withColumn("_one", F.lit(1)), [F.col(key)], "_one", "_i").filter(F.col("_i") % step == 0).drop("_one", "_i")
     return global_running_sum(one, [F.col(key)], length, "_before").filter(F.col("_before") + F.col(length) <= cap).drop("_before")

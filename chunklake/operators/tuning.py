@@ -1,4 +1,4 @@
-"""Dictionary training on a bounded sample, trial compression, and the two hill climbs over parameters."""
+"""Dictionary training, trial compression, and the two hill climbs over parameters."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from chunklake.functions.codec import train, trial_size
 from chunklake.operators.layout import strided_sample
+from chunklake.session import fitted
 
 FIRST_WINDOW, FIRST_DICTIONARY, MOST_DICTIONARY = 512, 8192, 1 << 20
-#: Training reads at most this share of a dictionary's size, and in all at most MOST_SAMPLE bytes, on the driver.
-SAMPLE_TIMES, MOST_SAMPLE = 100, 64 << 20
+#: Bytes that a dictionary is trained on, where not set: 64 MiB, or all if there are fewer. They reach the driver.
+SAMPLE = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -24,15 +25,14 @@ class Trial:
     seconds: float
 
 
-def dictionary(chunks: DataFrame, size: int, key: str = "chunk_hash", data: str = "chunk_data", optimise: bool = False) -> bytes:
-    """A dictionary trained on a strided sample of the chunks in hash order, of at most min(100 * size, 64 MiB) bytes.
+def dictionary(chunks: DataFrame, size: int, key: str = "chunk_hash", data: str = "chunk_data", optimise: bool = False, cap: int = SAMPLE) -> bytes:
+    """A dictionary trained on all chunks, or where they are more than `cap` bytes on a strided sample of them in hash order.
 
-    The sample's bound holds at any corpus size; only the sample reaches the driver.
+    The cap (at most 4 GiB) is a setting, and holds at any corpus size; only the sample reaches the driver.
     """
-    cap = min(SAMPLE_TIMES * size, MOST_SAMPLE)
     lengths = chunks.select(key, F.octet_length(data).cast("long").alias("length")).filter("length > 0")
     sample = strided_sample(lengths, cap, key, "length").select(key)
-    rows = chunks.join(sample, key, "left_semi").orderBy(key).select(data).collect()
+    rows = chunks.join(fitted(sample), key, "left_semi").orderBy(key).select(data).collect()
     return train([bytes(r[0]) for r in rows], size, optimise)
 
 

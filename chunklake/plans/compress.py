@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,37 +11,43 @@ from chunklake.functions.codec import with_codec
 from chunklake.operators import dedup, layout, tuning
 from chunklake.operators.chunking import content_chunks
 from chunklake.operators.prefix import global_running_sum
-from chunklake.session import stage
+from chunklake.session import merged, stage
 from chunklake.sources.archive import CART, write_archive
 from chunklake.sources.config import Settings
 
 
 @dataclass(frozen=True)
 class Bundle:
-    """What an archive holds: files (toc), manifest, layout of the unique chunks, and their data."""
+    """What an archive holds: files (toc), manifest, and the unique chunks with their data and their place in the layout."""
 
     toc: DataFrame
     manifest: DataFrame
-    order: DataFrame
     store: DataFrame
 
 
 def bundle(files: DataFrame, settings: Settings = Settings(), name: str = "file_name", ident: str = "file_id", content: str = "content") -> Bundle:
-    """Files (ident, name, content) to a bundle. Files are told apart by ident; an empty or null one is kept with no chunks."""
+    """Files (ident, name, content) to a bundle. Files are told apart by ident; an empty or null one is kept with no chunks.
+
+    The layout is computed from the manifest's narrow rows; the data is shuffled once, by hash, where it is deduplicated and meets its place.
+    """
     window, _ = settings.sizes()
     chunks = stage(content_chunks(files.select(ident, content), content, [ident], window, settings.normalisation, settings.hash_bits), "chunks")
-    unique = stage(dedup.store(chunks, order=(ident, "chunk_offset")), "store")
     sized = files.select(ident, F.coalesce(F.col(name), F.lit("")).alias(name), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("uncompressed_size"), F.sha2(F.coalesce(F.col(content), F.lit(b"")), 512).alias("sha512"))
     one = sized.withColumn("_one", F.lit(1))
-    toc = global_running_sum(one, [F.col(name), F.col(ident)], "_one", "toc_no").withColumn("toc_no", F.col("toc_no") + 1).drop("_one")
-    manifest = chunks.drop("chunk_data").join(toc.select(ident, "toc_no"), ident)
-    lengths = unique.select("chunk_hash", F.octet_length("chunk_data").cast("long").alias("length"))
+    toc = stage(global_running_sum(one, [F.col(name), F.col(ident)], "_one", "toc_no").withColumn("toc_no", F.col("toc_no") + 1).drop("_one"), "toc")
+    manifest = stage(chunks.drop("chunk_data").join(merged(toc.select(ident, "toc_no")), ident), "manifest")
+    lengths = manifest.groupBy("chunk_hash").agg(F.max("chunk_length").cast("long").alias("length"))
     order = layout.chunk_layout(manifest, lengths, "toc_no")
-    return Bundle(stage(toc, "toc"), stage(manifest, "manifest"), stage(order, "order"), unique)
+    store = dedup.store(chunks, order=(ident, "chunk_offset")).join(merged(order.select("chunk_hash", "position")), "chunk_hash")
+    return Bundle(toc, manifest, stage(store, "store"))
 
 
 def compress(files: DataFrame, path: str, settings: Settings = Settings(), name: str = "file_name", ident: str = "file_id", content: str = "content") -> dict:
-    """Writes the archive of the files and returns figures: files, chunks, bytes and parameters."""
+    """Writes the archive of the files and returns figures: files, chunks, bytes and parameters.
+
+    The data is shuffled twice: by hash, where it is deduplicated, and compressed by range of the layout, where it is written. What the
+    layout and the offsets need are narrow rows.
+    """
     settings = settings.checked()
     window, size = settings.sizes()
     if settings.auto_tune:
@@ -49,19 +55,19 @@ def compress(files: DataFrame, path: str, settings: Settings = Settings(), name:
         make = lambda w: stage(dedup.store(content_chunks(files.select(ident, content), content, [ident], w, settings.normalisation, settings.hash_bits), order=(ident, "chunk_offset")), "trial")
         window = tuning.best(tuning.tune_window(make, largest, settings.level, settings.tune_timeout)).parameter
         size = tuning.best(tuning.tune_dictionary(make(window), settings.level, settings.tune_timeout)).parameter
-    b = bundle(files, Settings(window=window, normalisation=settings.normalisation, hash_bits=settings.hash_bits), name, ident, content)
-    d = tuning.dictionary(b.store, size, optimise=settings.optimise_dictionary)
-    packed = with_codec(b.store.select("chunk_hash", "chunk_data"), "chunk_data", "compressed", "compress", d, settings.level).drop("chunk_data")
-    placed = packed.join(b.order.select("chunk_hash", "position"), "chunk_hash").withColumn("compressed_length", F.octet_length("compressed"))
-    placed = stage(global_running_sum(placed, [F.col("position")], "compressed_length", "data_offset"), "packed")
+    b = bundle(files, replace(settings, window=window, dictionary=size, auto_tune=False), name, ident, content)
+    d = tuning.dictionary(b.store, size, optimise=settings.optimise_dictionary, cap=settings.dictionary_sample)
+    packed = with_codec(b.store.select("chunk_hash", "position", "chunk_data"), "chunk_data", "compressed", "compress", d, settings.level).drop("chunk_data")
+    packed = stage(packed.withColumn("compressed_length", F.octet_length("compressed")), "packed")
+    placed = global_running_sum(packed.drop("compressed"), [F.col("position")], "compressed_length", "data_offset")
     n, total = b.toc.agg(F.count(F.lit(1)), F.coalesce(F.sum("uncompressed_size"), F.lit(0))).first()
     tables = {
         "toc": b.toc.select(F.col("toc_no").alias("seq"), "toc_no", F.col(name).alias("filename"), "uncompressed_size", "sha512", F.lit(None).cast("int").alias("collection_id")),
         "manifest": b.manifest.select(F.col("toc_no").alias("seq"), "toc_no", "chunk_no", "chunk_hash", "chunk_offset", "chunk_length"),
         "index": placed.select(F.col("position").alias("seq"), "chunk_hash", "data_offset", "compressed_length", F.lit(0).alias("codec")),
     }
-    write_archive(path, tables, placed.select(F.col("position").alias("seq"), F.col("compressed").alias("payload")), d, n, settings.hash_bits, CART, settings.force)
-    c, packed_bytes = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_length"), F.lit(0))).first()
+    write_archive(path, tables, packed.select(F.col("position").alias("seq"), F.col("compressed").alias("payload")), d, n, settings.hash_bits, CART, settings.force)
+    c, packed_bytes = packed.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_length"), F.lit(0))).first()
     return {"files": n, "bytes": total, "unique_chunks": c, "compressed_bytes": packed_bytes, "window": window, "dictionary": len(d)}
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -12,13 +11,16 @@ from pyspark.sql import functions as F
 
 from chunklake.functions import disc
 from chunklake.functions.codec import with_codec
+from chunklake.functions.scalars import title
 from chunklake.operators import cue, dedup, layout, optical, tuning
+from chunklake.operators.concat import concatenated
 from chunklake.operators.joins import interval_join
 from chunklake.operators.prefix import global_running_sum
-from chunklake.session import stage
-from chunklake.sources.archive import DISC, fetch_chunks, local, read_archive, write_archive
+from chunklake.session import merged, stage
+from chunklake.sources.archive import DISC, fetch_chunks, read_archive, write_archive
 from chunklake.sources.config import Settings
 from chunklake.sources.files import read_files, read_texts
+from chunklake.sources.ranges import filesystem
 
 OPTICAL = Settings(optical=True)
 
@@ -38,8 +40,8 @@ def discs_of_folders(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     parts = places.select("sheet", "folder", "file_no", "file_name").distinct().join(named, ["folder", "file_name"], "left")
     placed = cue.normalised(indices, parts.select("sheet", "file_name", "size"))
     tracks = cue.track_starts(placed, at="position").select(F.col("sheet").alias("title"), "track_start", "content_start", "track_mode")
-    data = parts.join(found.select("path", "content"), "path").groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("file_no", "content"))).alias("p"))
-    images = data.select(F.col("sheet").alias("title"), F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["content"])), "")).alias("image"))
+    data = parts.join(found.select("path", "content"), "path")
+    images = concatenated(data.withColumnRenamed("sheet", "title"), ["title"], "file_no", "content", "image")
     lists = read_texts(spark, paths, "m3u").unionByName(read_texts(spark, paths, "m3u8"))
     lines = lists.select(F.col("path").alias("playlist_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line_text"))
     return images, tracks, cue.collections(cue.playlist_entries(lines))
@@ -68,11 +70,11 @@ def compress_discs(images: DataFrame, path: str, settings: Settings = OPTICAL, t
     coded = chunks.withColumn("chunk_hash", F.concat(F.when(F.col("codec") == 1, "a").otherwise("d"), "chunk_hash"))
     store = stage(dedup.store(coded, order=("disc", "run_no", "chunk_offset")), "store")
     plain = store.filter(F.col("chunk_hash").startswith("d"))
-    d = tuning.dictionary(plain, size, optimise=settings.optimise_dictionary)
+    d = tuning.dictionary(plain, size, optimise=settings.optimise_dictionary, cap=settings.dictionary_sample)
     packed = with_codec(plain.select("chunk_hash", "chunk_data"), "chunk_data", "compressed", "compress", d, settings.level).withColumn("codec", F.lit(0))
     sound = with_codec(store.filter(F.col("chunk_hash").startswith("a")).select("chunk_hash", "chunk_data"), "chunk_data", "compressed", "audio").withColumn("codec", F.lit(1))
-    all_ = packed.unionByName(sound).drop("chunk_data").withColumn("compressed_length", F.octet_length("compressed"))
-    placed = stage(layout.hash_layout(all_.select("chunk_hash", "compressed_length"), length="compressed_length").select("chunk_hash", "position", "layout_offset").join(all_, "chunk_hash"), "packed")
+    all_ = stage(packed.unionByName(sound).drop("chunk_data").withColumn("compressed_length", F.octet_length("compressed")), "coded")
+    placed = stage(layout.hash_layout(all_.select("chunk_hash", "compressed_length"), length="compressed_length").select("chunk_hash", "position", "layout_offset").join(merged(all_), "chunk_hash"), "packed")
     address = stage(optical.addresses(m), "addresses")
     digest = optical.disc_digests(m)
     texts = cue.cue_text(cue.cue_tracks(r, "disc", F.col("kind")).join(toc.select(F.col("toc_no").alias("disc"), "title"), "disc"), "disc", F.concat("title", F.lit(".bin")))
@@ -82,7 +84,7 @@ def compress_discs(images: DataFrame, path: str, settings: Settings = OPTICAL, t
         names = toc.join(collections, "title", "left")
     seq = lambda df: df.withColumn("seq", F.col("disc")).withColumnRenamed("disc", "toc_no")
     tables = {
-        "toc": names.join(digest.select(F.col("disc").alias("toc_no"), "sha512"), "toc_no", "left").select(F.col("toc_no").alias("seq"), "toc_no", F.col("title").alias("filename"), "uncompressed_size", "sha512", "collection_id"),
+        "toc": names.join(digest.select(F.col("disc").alias("toc_no"), "sha512"), "toc_no", "left").select(F.col("toc_no").alias("seq"), "toc_no", title(F.col("title")).alias("filename"), "uncompressed_size", "sha512", "collection_id"),
         "layout": seq(coded.drop("chunk_data", "codec")),
         "index": placed.select(F.col("position").alias("seq"), "chunk_hash", F.col("layout_offset").alias("data_offset"), "compressed_length", "codec"),
         "runs": seq(r),
@@ -137,12 +139,13 @@ def verify_discs(spark: SparkSession, path: str) -> DataFrame:
 def _write_images(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, temp, n = None, None, None, 0
+        own, inside = filesystem(folder)
 
         def close() -> pa.RecordBatch:
             out.close()
-            os.replace(temp, os.path.join(folder, f"{now[1]}.bin"))
-            with open(os.path.join(folder, f"{now[1]}.cue"), "w") as f:
-                f.write(now[2] or "")
+            own.move(temp, f"{inside}/{now[1]}.bin")
+            with own.open_output_stream(f"{inside}/{now[1]}.cue") as f:
+                f.write((now[2] or "").encode())
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]]), pa.array([n], pa.int64())], names=["toc_no", "title", "sectors"])
 
         for rb in batches:
@@ -151,8 +154,8 @@ def _write_images(folder: str):
                     if now is not None:
                         yield close()
                     now, n = key, 0
-                    temp = os.path.join(folder, f".{uuid.uuid4().hex}.part")
-                    out = open(temp, "wb")  # noqa: SIM115
+                    temp = f"{inside}/.{uuid.uuid4().hex}.part"
+                    out = own.open_output_stream(temp)
                 out.write(sector.as_py())
                 n += 1
         if now is not None:
@@ -168,4 +171,4 @@ def extract_discs(spark: SparkSession, path: str, folder: str) -> DataFrame:
         raise ValueError(f"damaged: {bad.filename}")
     names = read_archive(spark, path, "toc").select(F.col("toc_no").alias("disc"), F.regexp_replace("filename", r"[/\\\x00]", "_").alias("title")).join(read_archive(spark, path, "discs").select(F.col("toc_no").alias("disc"), "cue"), "disc")
     rows = disc_sectors(spark, path).join(names, "disc").select("disc", "title", "cue", "sector_idx", "sector")
-    return rows.repartition("disc").sortWithinPartitions("disc", "sector_idx").mapInArrow(_write_images(local(folder)), "toc_no long, title string, sectors long")
+    return rows.repartition("disc").sortWithinPartitions("disc", "sector_idx").mapInArrow(_write_images(folder), "toc_no long, title string, sectors long")

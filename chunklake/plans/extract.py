@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunklake.functions.codec import with_codec
 from chunklake.functions.hashing import hash_hex
 from chunklake.functions.scalars import human_size, parse_index_list
+from chunklake.operators.concat import concatenated
 from chunklake.operators.seek import out_of_bounds, seek
 from chunklake.operators.verify import digests
-from chunklake.sources.archive import fetch_chunks, local, read_archive, read_header
+from chunklake.sources.ranges import filesystem
+from chunklake.sources.archive import fetch_chunks, read_archive, read_header
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -60,19 +62,19 @@ def read_ranges(spark: SparkSession, path: str, requests: DataFrame) -> DataFram
         raise ValueError(f"out of bounds: {bad.asDict()}")
     parts = seek(read_archive(spark, path, "manifest"), requests, "toc_no")
     data = parts.join(_plain(spark, path, parts), "chunk_hash")
-    piece = F.hex(F.col("chunk_data").substr((F.col("slice_start") + 1).cast("int"), (F.col("slice_end") - F.col("slice_start")).cast("int")))
-    got = data.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("chunk_offset", piece.alias("p")))).alias("p"))
-    joined = F.unhex(F.array_join(F.transform("p", lambda x: x["p"]), ""))
-    return requests.join(got, "request_id", "left").select("request_id", F.coalesce(F.when(F.col("p").isNotNull(), joined), F.lit(b"")).alias("bytes"))
+    piece = F.col("chunk_data").substr((F.col("slice_start") + 1).cast("int"), (F.col("slice_end") - F.col("slice_start")).cast("int"))
+    got = concatenated(data.withColumn("_piece", piece), ["request_id"], "chunk_offset", "_piece", "bytes")
+    return requests.select("request_id").join(got, "request_id", "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
 
 
 def _write_batches(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, temp, size = None, None, None, 0
+        own, inside = filesystem(folder)
 
         def close() -> tuple:
             out.close()
-            os.replace(temp, os.path.join(folder, now[1]))
+            own.move(temp, f"{inside}/{now[1]}")
             return (*now, size)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -85,13 +87,13 @@ def _write_batches(folder: str):
                     if now is not None:
                         done.append(close())
                     now, size = (n, name), 0
-                    temp = os.path.join(folder, f".{uuid.uuid4().hex}.part")
-                    out = open(temp, "wb")  # noqa: SIM115
+                    temp = f"{inside}/.{uuid.uuid4().hex}.part"
+                    out = own.open_output_stream(temp)
                 if key is None:
                     continue
                 if d is None or hash_hex(d, 4 * len(key)) != key:
                     out.close()
-                    os.remove(temp)
+                    own.delete_file(temp)
                     raise ValueError(f"chunk {key} of {name} is missing or damaged")
                 out.write(d)
                 size += len(d)
@@ -108,11 +110,11 @@ def extract(spark: SparkSession, path: str, folder: str, indices: str | None = N
 
     Every chunk is checked against its hash; a damaged one stops the job. Two files of one name get their index before the name.
     """
-    folder = local(folder)
-    if not os.path.isdir(folder):
+    own, inside = filesystem(folder)
+    if own.get_file_info(inside).type != fs.FileType.Directory:
         if not force:
             raise FileNotFoundError(folder)
-        os.makedirs(folder)
+        own.create_dir(inside)
     toc = selected(spark, path, indices)
     twice = toc.groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
     plain = F.regexp_replace(F.when(F.col("filename") == "", F.lit("unnamed")).otherwise(F.col("filename")), r"[/\\\x00]", "_")

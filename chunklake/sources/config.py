@@ -11,6 +11,7 @@ from chunklake.functions.scalars import parse_size
 TEMPLATE = """# Settings of chunklake; values given on the command line come first.
 # window = "2KiB"
 # dictionary = "16KiB"
+# dictionary_sample = "64MiB"
 # level = 19
 # hash_bits = 64
 # normalisation = 0
@@ -29,6 +30,7 @@ TEMPLATE = """# Settings of chunklake; values given on the command line come fir
 class Settings:
     window: int | None = None
     dictionary: int | None = None
+    dictionary_sample: int = 64 << 20
     level: int = 19
     hash_bits: int = 64
     normalisation: int = 0
@@ -51,6 +53,8 @@ class Settings:
             raise ValueError("window: a power of two from 256 on")
         if not 0 < dictionary <= 1 << 20:
             raise ValueError("dictionary: up to 1 MiB")
+        if not 0 < self.dictionary_sample <= 4 << 30:
+            raise ValueError("dictionary_sample: up to 4 GiB")
         if not 1 <= self.level <= 22:
             raise ValueError("level: 1 to 22")
         if self.hash_bits not in (64, 128):
@@ -79,5 +83,5 @@ def load(path: str, create: bool = True) -> Settings:
 
 def merge(base: Settings, given: dict) -> Settings:
     """base with the values that aren't None; sizes may be text as `2KiB`."""
-    some = {k: parse_size(v) if k in ("window", "dictionary") and isinstance(v, str) else v for k, v in given.items() if v is not None}
+    some = {k: parse_size(v) if k in ("window", "dictionary", "dictionary_sample") and isinstance(v, str) else v for k, v in given.items() if v is not None}
     return replace(base, **some)
