@@ -7,13 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import zstandard
-except ImportError:  # chunks are then stored as they are
-    zstandard = None
 
 DEFAULT_LEVEL = 19
 #: Trial runs use at least this level.
@@ -32,12 +29,12 @@ def _decompressor(dictionary: bytes):
 
 
 def compress(data: bytes, dictionary: bytes = b"", level: int = DEFAULT_LEVEL) -> bytes:
-    return data if zstandard is None else _compressor(dictionary, level).compress(data)
+    return _compressor(dictionary, level).compress(data)
 
 
 def decompress(data: bytes, dictionary: bytes = b"") -> bytes:
     """Also reads frames that don't say their size."""
-    return data if zstandard is None else _decompressor(dictionary).decompressobj().decompress(data)
+    return _decompressor(dictionary).decompressobj().decompress(data)
 
 
 def with_codec(df: DataFrame, column: str, out: str, how: str, dictionary: bytes = b"", level: int = DEFAULT_LEVEL) -> DataFrame:
@@ -65,7 +62,7 @@ def with_codec(df: DataFrame, column: str, out: str, how: str, dictionary: bytes
 
 def train(samples: list[bytes], size: int, optimise: bool = False, threads: int = 0) -> bytes:
     """A dictionary of at most `size` bytes from bounded samples; empty where there is too little to train on."""
-    if zstandard is None or len(samples) < 8 or sum(map(len, samples)) < 2 * size:
+    if len(samples) < 8 or sum(map(len, samples)) < 2 * size:
         return b""
     try:
         d = zstandard.train_dictionary(size, samples, steps=4, threads=threads) if optimise else zstandard.train_dictionary(size, samples)

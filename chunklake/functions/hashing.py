@@ -3,24 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-try:
-    import xxhash
-except ImportError:  # the engine then identifies chunks by a prefix of SHA-256: other ids, same semantics
-    xxhash = None
-
 #: Fixed value: the seed of all chunk hashes.
 CHUNK_SEED = 0x4202803010192019
 
 
 def hash_hex(data: bytes, bits: int = 64, seed: int = CHUNK_SEED) -> str:
     """A chunk's id as fixed-width big-endian hex, so that text order is unsigned numeric order."""
-    if xxhash is None:
-        import hashlib
-
-        return hashlib.sha256(seed.to_bytes(8, "big") + data).hexdigest()[: bits // 4]
     return (xxhash.xxh3_64_hexdigest if bits == 64 else xxhash.xxh3_128_hexdigest)(data, seed=seed)
 
 

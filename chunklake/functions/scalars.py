@@ -112,3 +112,15 @@ def line_and_column(text: str, offset: int) -> tuple[int, int]:
     """1-based line and column of a byte offset in a text."""
     before = text.encode()[:offset].decode(errors="replace")
     return before.count("\n") + 1, len(before) - (before.rfind("\n") + 1) + 1
+
+
+def title(name: Column) -> Column:
+    """A disc's title as archives keep it: at most 255 characters."""
+    return F.substring(name, 1, 255)
+
+
+def fits_in_memory(available: int, data: int) -> bool:
+    """Whether an archive's data may be held in memory while it is made: four fifths of what is available exceed the data, a copy of up to
+    2^32 - 1 bytes of it, and as many bytes again. The engine doesn't ask, since stages are written; callers of bounded jobs may."""
+    most = 2**32 - 1
+    return 0.8 * available > data + min(data, most) + most

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunklake.session import stage
+
 
 def checked_join(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
     """left join right on key, where a row without a partner is an error when it is read; order columns are kept as they are."""
@@ -29,7 +31,8 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lstart: st
     spread = lambda df, a, b: df.withColumn("_b", F.explode(F.expr(f"sequence({a} div {bucket}, (greatest({b}, {a} + 1) - 1) div {bucket})")))
     lo = F.expr(f"greatest({lstart}, {rstart}) div {bucket}")
     if how == "left":
-        left = left.withColumn("_id", F.monotonically_increasing_id())
+        # The rows' numbers must not change between the two uses: they are written once.
+        left = stage(left.withColumn("_id", F.monotonically_increasing_id()), "interval")
     pairs = spread(left, lstart, lend).join(spread(right, rstart, rend), [*keys, "_b"]).filter((F.col(lstart) < F.col(rend)) & (F.col(lend) > F.col(rstart)) & (lo == F.col("_b"))).drop("_b")
     if how == "inner":
         return pairs

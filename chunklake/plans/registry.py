@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunklake.functions import codec, disc, scalars
 from chunklake.functions.hashing import chunk_hash, digests as both_digests
 from chunklake.functions.keys import canonical_key, canonical_key_sql
+from chunklake.operators.concat import concatenated
 from chunklake.operators import chunking, cue, dedup, joins, layout, optical, runs, seek, skew, tuning, verify
 from chunklake.plans import compress, discs, extract
 from chunklake.session import shared_dir, stage, table
@@ -460,7 +463,11 @@ def cue_generate(spark, d):
     return cue.cue_tracks(runs.runs(_events(spark, d), ["user_id"], "pos", "event_type"), "user_id", kind)
 
 
-@query()
+_AT = "printf('%02d:%02d:%02d', ({0} // 4500) % 256, ({0} // 75) % 60, {0} % 75)"
+
+
+@query(f"""SELECT user_id, 'FILE "user_' || user_id || '.bin" BINARY' || chr(10) || string_agg('  TRACK ' || printf('%02d ', track_no) || mode || chr(10)
+|| CASE WHEN index00 IS NULL THEN '' ELSE '    INDEX 00 ' || {_AT.format("index00")} || chr(10) END || '    INDEX 01 ' || {_AT.format("index01")} || chr(10), '' ORDER BY track_no) AS cue FROM ({SQL["cue_generate"]}) GROUP BY user_id""")
 def cue_sheets(spark, d):
     t = cue_generate(spark, d)
     return cue.cue_text(t, "user_id", F.concat(F.lit("user_"), F.col("user_id"), F.lit(".bin")))
@@ -513,6 +520,41 @@ def zstd_roundtrip(spark, d):
     return back.select("file_id", F.md5("data").alias("md5"), (F.octet_length("z") <= F.col("n") + 32).alias("smaller"))
 
 
+@query(f"SELECT {_big('sum(n)')} AS bytes, {_big('(SELECT sum(octet_length(file_data)) FROM (SELECT DISTINCT file_data FROM filedata))')} AS exact_unique_bytes, true AS chunks_at_most FROM (SELECT octet_length(file_data) AS n FROM filedata)")
+def cdc_dedup_vs_exact(spark, d):
+    n = F.octet_length("file_data").cast("long")
+    exact = _files(spark, d).filter("file_data is not null").groupBy(F.sha2("file_data", 256)).agg(F.count(F.lit(1)).alias("k"), F.max(n).alias("n")).agg(F.sum(F.col("k") * F.col("n")).alias("bytes"), F.sum("n").alias("exact_unique_bytes"))
+    chunks = dedup.unique_bytes(_chunks(spark, d), F.col("chunk_length").cast("long")).select("unique_bytes")
+    return exact.withColumn("chunks_at_most", F.lit(chunks.scalar()) <= F.col("exact_unique_bytes"))
+
+
+@query(f"SELECT file_id % 8 AS blob, {_big('sum(octet_length(file_data))')} AS bytes, true AS same FROM filedata WHERE octet_length(file_data) > 0 GROUP BY 1")
+def cdc_file_ranges(spark, d):
+    """All files put into eight blobs on disk, chunked by ranges of 64 KiB, against the same blobs chunked in one piece."""
+    folder = f"{shared_dir(spark)}/stage-blobs-{uuid.uuid4().hex}"
+    blobs = stage(concatenated(_files(spark, d).filter("octet_length(file_data) > 0").withColumn("blob", F.col("file_id") % 8), ["blob"], "file_id", "file_data", "data"), "blobs")
+    sources.write_files(blobs.select(F.concat(F.lit("blob-"), F.col("blob")).alias("name"), "data"), folder).count()
+    a = chunking.chunks_of_files(spark, [folder], range_bytes=1 << 16).select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("blob"), "chunk_no", "chunk_offset", "chunk_length", "chunk_hash", F.lit(1).alias("times"))
+    b = chunking.content_chunks(blobs, "data", ["blob"]).select("blob", "chunk_no", "chunk_offset", "chunk_length", "chunk_hash", F.lit(2).alias("times"))
+    each = a.unionByName(b).groupBy("blob", "chunk_no", "chunk_offset", "chunk_length", "chunk_hash").agg(F.sum("times").alias("times"))
+    return each.groupBy("blob").agg(F.sum(F.when(F.col("times").bitwiseAND(F.lit(1)) == 1, F.col("chunk_length"))).cast("long").alias("bytes"), F.min(F.col("times") == 3).alias("same"))
+
+
+@query(f"SELECT game_id, file_id, {_big('at - base')} AS place FROM (SELECT *, sum(n) OVER w - n AS base, sum(n) OVER (PARTITION BY game_id) // 2 AS at, sum(n) OVER w AS upto FROM (SELECT game_id, file_id, coalesce(octet_length(file_data), 0) AS n FROM filedata WHERE game_id IS NOT NULL) WINDOW w AS (PARTITION BY game_id ORDER BY file_id)) WHERE base <= at AND at < upto")
+def multipart_locate(spark, d):
+    """The part, and the byte in it, that holds the middle byte of each game's files put one after the other."""
+    parts = layout.part_bases(table(spark, d, "filedata").filter("game_id is not null").select("game_id", "file_id", F.coalesce(F.octet_length("file_data"), F.lit(0)).cast("long").alias("n")), "game_id", "file_id", "n").filter("n > 0")
+    at = parts.groupBy("game_id").agg(F.expr("sum(n) div 2").alias("at"))
+    hit = joins.asof(at, parts.select("game_id", "base", F.struct("base", "file_id").alias("part")), ["game_id"], "at", "base", "part")
+    return hit.select("game_id", "part.file_id", (F.col("at") - F.col("part.base")).alias("place"))
+
+
+@query("SELECT 'plain' AS codec, true AS smaller UNION ALL SELECT 'dictionary', true")
+def zstd_gain_positive(spark, d):
+    raw = dedup.unique_bytes(_chunks(spark, d), F.col("chunk_length").cast("long")).select("unique_bytes").scalar()
+    return zstd_gain(spark, d).select("codec", (F.col("compressed_bytes") < F.lit(raw)).alias("smaller"))
+
+
 @query()
 def zstd_gain(spark, d):
     chunks = stage(dedup.store(_chunks(spark, d)).select("chunk_hash", "chunk_data"), "store")
@@ -547,7 +589,7 @@ def autotune_dict(spark, d):
 # Archives
 
 def _archive(spark, d) -> str:
-    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}.cla"
+    path = f"{shared_dir(spark)}/stage-archive-{uuid.uuid4().hex}.cla"
     compress.compress(_files(spark, d).withColumnRenamed("file_data", "content"), path, Settings(level=7))
     return path
 
@@ -622,6 +664,15 @@ def disc_user_data(spark, d):
     return optical.sector_map(_discs(spark, d)).select("disc", "sector_idx", F.md5(disc.user_data(F.col("sector"), F.col("kind"))).alias("md5"))
 
 
+@query(f"WITH {_SECTORS}, k AS (SELECT disc, {_MODE} AS f FROM s) SELECT disc, {_big('sum(CASE f WHEN ' + chr(39) + 'mode1' + chr(39) + ' THEN 2048 WHEN ' + chr(39) + 'form1' + chr(39) + ' THEN 2048 WHEN ' + chr(39) + 'form2' + chr(39) + ' THEN 2324 ELSE 2352 END)')} AS bytes, true AS gapless FROM k WHERE f <> 'audio' GROUP BY disc")
+def disc_user_bytes(spark, d):
+    """The data chunks of each disc: their bytes, and whether those of each run follow each other."""
+    c = disc_user_chunks(spark, d)
+    w = Window.partitionBy("disc", "run_no").orderBy("chunk_no")
+    c = c.withColumn("ok", F.coalesce(F.lag(F.col("chunk_offset") + F.col("chunk_length")).over(w), F.lit(0)) == F.col("chunk_offset"))
+    return c.groupBy("disc").agg(F.sum("chunk_length").cast("long").alias("bytes"), F.min("ok").alias("gapless"))
+
+
 @query()
 def disc_user_chunks(spark, d):
     return optical.user_chunks(stage(optical.sector_map(_discs(spark, d)), "map")).select("disc", "run_no", "chunk_no", "chunk_offset", "chunk_length", "chunk_hash")
@@ -632,7 +683,11 @@ def disc_subheaders(spark, d):
     return optical.subheaders(optical.sector_map(_discs(spark, d)))
 
 
-@query()
+def _nibbles(i: int) -> str:
+    return f"(('0x' || substr(h, {i}, 1))::INT * 10 + ('0x' || substr(h, {i + 1}, 1))::INT)"
+
+
+@query(f"WITH {_SECTORS}, k AS (SELECT *, {_MODE} AS f FROM s), a AS (SELECT disc, sector_idx, {_big(f'({_nibbles(25)} * 60 + {_nibbles(27)}) * 75 + {_nibbles(29)}')} - sector_idx AS lba_offset FROM k WHERE f NOT IN ('audio', 'zero')), c AS (SELECT *, lag(lba_offset) OVER (PARTITION BY disc ORDER BY sector_idx) AS was FROM a WHERE lba_offset >= 0) SELECT disc, sector_idx AS from_sector, lba_offset FROM c WHERE was IS DISTINCT FROM lba_offset")
 def disc_addresses(spark, d):
     return optical.addresses(optical.sector_map(_discs(spark, d)))
 
@@ -643,21 +698,87 @@ def disc_exceptions(spark, d):
     return e.join(runs.registry(e, "saved", ["disc", "sector_idx"], F.length("saved") / 2), "saved").select("disc", "sector_idx", "kind", "id", "value_offset", "value_length")
 
 
-@query()
+_SIZE = "CASE f WHEN 'mode1' THEN 2048 WHEN 'form1' THEN 2048 WHEN 'form2' THEN 2324 ELSE 0 END"
+
+
+@query(f"WITH {_SECTORS}, k AS (SELECT disc, sector_idx, {_MODE} AS f FROM s), a AS (SELECT *, CASE WHEN lag(f) OVER (PARTITION BY disc ORDER BY sector_idx) = f THEN 0 ELSE 1 END AS nw FROM k), r AS (SELECT *, sum(nw) OVER (PARTITION BY disc ORDER BY sector_idx) AS rn FROM a), q AS (SELECT *, min(sector_idx) OVER (PARTITION BY disc, rn) AS st FROM r), b AS (SELECT *, st + (sector_idx - st) // 16 * 16 AS bs, {_big(f'coalesce(sum({_SIZE}) OVER (PARTITION BY disc ORDER BY sector_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS sp FROM q) SELECT disc, sector_idx, CASE f WHEN 'audio' THEN 'block' WHEN 'zero' THEN 'none' ELSE 'stream' END AS source, CASE WHEN f = 'audio' THEN bs END AS block_start, CASE f WHEN 'audio' THEN (sector_idx - bs) * 2352 WHEN 'zero' THEN NULL ELSE sp END AS place FROM b")
 def disc_sources(spark, d):
     m = stage(optical.sector_map(_discs(spark, d)), "map")
-    return optical.sector_sources(m, optical.audio_blocks(m))
+    return optical.sector_sources(m, optical.audio_blocks(m)).drop("kind")
+
+
+def _stored_edc():
+    return F.conv(F.hex(F.concat(*[F.col("sector").substr(2069 - i, 1) for i in range(1, 5)])), 16, 10).cast("long")
 
 
 @query()
 def edc_check(spark, d):
     s = chunking.sectors_of(_discs(spark, d), "image", ["disc"])
-    stored = F.conv(F.hex(F.concat(*[F.col("sector").substr(2069 - i, 1) for i in range(1, 5)])), 16, 10).cast("long")
-    return s.select("disc", "sector_idx", (disc.edc_of(F.col("sector").substr(1, 2064)) == stored).alias("edc_ok"), disc.ecc_ok("sector").alias("ecc_ok"))
+    return s.select("disc", "sector_idx", (disc.edc_of(F.col("sector").substr(1, 2064)) == _stored_edc()).alias("edc_ok"), disc.ecc_ok("sector").alias("ecc_ok"))
+
+
+# Discs made of the embeddings: one for each label, with sound and broken data sectors of three kinds, and audio
+
+def _make_sectors(batches):
+    for rb in batches:
+        disc_no, k, n = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        vectors = rb.column(3).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(k), -1).view(np.uint8)
+        fill = lambda size: np.tile(vectors, (1, -(-size // vectors.shape[1])))[:, :size]  # noqa: B023, E731
+        none, sub = np.zeros((len(k), 8), np.uint8), fill(8) & 0xDF
+        sectors = [disc.rebuild("Mode1", fill(2048), none, k + 150), disc.rebuild("Mode2Form1", fill(2048), sub, k + n + 150), disc.rebuild("Mode2Form2", fill(2324), sub | 0x20, k + 2 * n + 150), fill(2352)]
+        for x, at in zip(sectors, (2065, 2073, 2349)):
+            x[k % 7 == 6, at] ^= 1
+        flat = [x[i].tobytes() for x in sectors for i in range(len(k))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(disc_no, 4).astype(np.int64)), pa.array(np.concatenate([k + i * n for i in range(4)])), pa.array(flat, pa.binary())], names=["disc", "sector_idx", "sector"])
+
+
+def _made_sectors(spark, d):
+    w = Window.partitionBy("label")
+    v = table(spark, d, "embeddings").select(F.col("label").cast("long"), (F.row_number().over(w.orderBy("vec_id")) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(w).alias("n"), "embedding")
+    return stage(v.mapInArrow(_make_sectors, "disc long, sector_idx long, sector binary"), "made")
+
+
+def _made(spark, d):
+    """(images, tracks): data tracks, then an audio track whose first two sectors are its pregap."""
+    images = stage(concatenated(_made_sectors(spark, d), ["disc"], "sector_idx", "sector", "image"), "images")
+    n = F.expr(f"octet_length(image) div {4 * disc.SECTOR_BYTES}").cast("long")
+    three = F.array(*[F.struct(a.cast("long").alias("track_start"), b.cast("long").alias("content_start"), F.lit(m).alias("track_mode")) for a, b, m in ((F.lit(0), F.lit(0), "MODE1/2352"), (n, n, "MODE2/2352"), (3 * n, 3 * n + F.least(n - 1, F.lit(2)), "AUDIO"))])
+    return images, images.select("disc", F.explode(three).alias("t")).select("disc", "t.*")
+
+
+_MADE = "c AS (SELECT CAST(label AS BIGINT) AS disc, count(*) AS n, least(count(*) - 1, 2) AS g FROM embeddings GROUP BY label)"
+
+
+@query(f"WITH {_MADE} SELECT disc, kind, sectors FROM (SELECT disc, unnest(['Mode1', 'Mode1Exception', 'Mode2Form1', 'Mode2Form1Exception', 'Mode2Form2', 'Mode2Form2Exception', 'PregapAudio', 'Audio']) AS kind, unnest([n - n // 7, n // 7, n - n // 7, n // 7, n - n // 7, n // 7, g, n - g]) AS sectors FROM c) WHERE sectors > 0")
+def made_disc_kinds(spark, d):
+    images, tracks = _made(spark, d)
+    return optical.sector_map(images, tracks=tracks).groupBy("disc", "kind").agg(F.count(F.lit(1)).alias("sectors"))
+
+
+@query(f"WITH {_MADE}, r AS (SELECT disc, 3 * n AS st, g AS m FROM c UNION ALL SELECT disc, 3 * n + g, n - g FROM c) SELECT disc, st + 16 * i AS block_start, least(16, m - 16 * i) AS block_count FROM (SELECT *, unnest(range((m + 15) // 16)) AS i FROM r)")
+def made_disc_blocks(spark, d):
+    images, tracks = _made(spark, d)
+    return optical.audio_blocks(optical.sector_map(images, tracks=tracks)).select("disc", "block_start", "block_count")
+
+
+@query(f"WITH {_MADE} SELECT disc, unnest(range(n)) AS sector_idx, unnest(range(n)) % 7 < 6 AS edc_ok, unnest(range(n)) % 7 < 6 AS ecc_ok FROM c")
+def ecc_roundtrip(spark, d):
+    """Codes made for data sectors and checked again; a broken byte shows in both."""
+    s = _made_sectors(spark, d).join(table(spark, d, "embeddings").groupBy(F.col("label").cast("long").alias("disc")).agg(F.count(F.lit(1)).alias("n")), "disc").filter("sector_idx < n")
+    return s.select("disc", "sector_idx", (disc.edc_of(F.col("sector").substr(1, 2064)) == _stored_edc()).alias("edc_ok"), disc.ecc_ok("sector").alias("ecc_ok"))
+
+
+@query(f"WITH {_MADE} SELECT row_number() OVER (ORDER BY disc) AS toc_no, printf('made_%08d', disc) AS filename, true AS ok FROM c")
+def made_disc_archive(spark, d):
+    """Images with audio, a pregap and broken sectors through an archive and back."""
+    images, tracks = _made(spark, d)
+    path, title = f"{shared_dir(spark)}/stage-made-{uuid.uuid4().hex}.cla", F.format_string("made_%08d", F.col("disc"))
+    discs.compress_discs(images.select(title.alias("title"), "image"), path, Settings(optical=True, level=7), tracks.select(title.alias("title"), "track_start", "content_start", "track_mode"))
+    return discs.verify_discs(spark, path)
 
 
 def _disc_archive(spark, d) -> str:
-    path = f"{shared_dir(spark)}/discs-{uuid.uuid4().hex}.cla"
+    path = f"{shared_dir(spark)}/stage-discs-{uuid.uuid4().hex}.cla"
     images = _discs(spark, d).select(F.format_string("disc_%08d", F.col("disc")).alias("title"), "image")
     discs.compress_discs(images, path, Settings(optical=True, level=7))
     return path
@@ -682,14 +803,14 @@ def windowed_arrivals(spark, d):
     return ingest.windowed_arrivals(table(spark, d, "chunkmessage"))
 
 
-@query()
+@query(f"SELECT n AS streamed, n AS keys, n AS batch, true AS equal FROM (SELECT count(DISTINCT {_KEY}) AS n FROM chunkmessage)")
 def stream_equals_batch(spark, d):
     """The messages' keys through a stream into a store, against the batch's store: one row, equal or not."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stage-stream-{uuid.uuid4().hex}"
     src = table(spark, d, "chunkmessage").select(F.col("msg_id").cast("string").alias("path"), F.lit(0).cast("long").alias("chunk_offset"), canonical_key(F.col("chunk_hash")).alias("chunk_hash"), "chunk_data")
     src.repartition(4).write.parquet(f"{base}/in")
     read = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    run = read.writeStream.foreachBatch(lambda df, _: ingest.append_new(df, f"{base}/store")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run = read.writeStream.foreachBatch(lambda df, _: ingest.append_new(df, f"{base}/store", digits=1)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     got = spark.read.parquet(f"{base}/store").agg(F.count(F.lit(1)).alias("streamed"), F.countDistinct("chunk_hash").alias("keys"))
     want = dedup.keys(src).agg(F.count(F.lit(1)).alias("batch")).scalar()

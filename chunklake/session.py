@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import shutil
@@ -78,6 +79,31 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+@contextlib.contextmanager
+def job(spark: SparkSession, name: str):
+    """Runs what is inside as one group of jobs, which cancel() ends and progress() follows, from any thread."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name, interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(key, None)
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    """Cancels the running jobs of a group; what they had written under temporary names is removed by their writers."""
+    spark.sparkContext.cancelJobGroup(name)
+
+
+def progress(spark: SparkSession, name: str) -> tuple[int, int]:
+    """(tasks done, tasks) of the stages of a group's jobs that are known so far."""
+    t = spark.sparkContext.statusTracker()
+    stages = [t.getStageInfo(s) for j in t.getJobIdsForGroup(name) if (info := t.getJobInfo(j)) for s in info.stageIds]
+    there = [s for s in stages if s]
+    return sum(s.numCompletedTasks for s in there), sum(s.numTasks for s in there)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Remove the tables stage() wrote; only for folders of this machine."""
     root = shared_dir(spark)
@@ -86,7 +112,8 @@ def drop_stages(spark: SparkSession) -> None:
     if os.path.isdir(root):
         for name in os.listdir(root):
             if name.startswith("stage-"):
-                shutil.rmtree(os.path.join(root, name), ignore_errors=True)
+                full = os.path.join(root, name)
+                shutil.rmtree(full, ignore_errors=True) if os.path.isdir(full) else os.remove(full)
 
 
 def ship_package(spark: SparkSession) -> None:

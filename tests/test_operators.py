@@ -1,18 +1,24 @@
 import datetime
+import os
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
+from chunklake import session
 from chunklake.functions import codec, disc, scalars
 from chunklake.functions.hashing import CHUNK_SEED, hash_hex
 from chunklake.functions.keys import canonical_key, key_as_long, long_as_key
 from chunklake.operators import chunking, cue, dedup, joins, layout, optical, runs, seek, skew, tuning, verify
+from chunklake.operators.concat import concatenated
 from chunklake.operators.prefix import global_running_sum
 from chunklake.plans import compress, extract
 from chunklake.sources import archive, config, files
+from chunklake.sources.ranges import file_ranges
 
 
 def rows(df, *cols):
@@ -69,9 +75,114 @@ def test_one_byte_changes_few_chunks():
 
 def test_large_files_are_hashed_in_parts():
     d = np.random.default_rng(9).integers(0, 256, 10_000).astype(np.uint8)
-    t = chunking.gear_table()
+    rule = chunking.Rule(256, 1)
     for part in (64, 1000, 4096):
-        assert all((a == b).all() for a, b in zip(chunking._candidates(d, t, (5, 3), part), chunking._candidates(d, t, (5, 3))))
+        assert all((a == b).all() for a, b in zip(rule.candidates(d, 0, part), rule.candidates(d)))
+
+
+def byte_by_byte(d, window, level):
+    """The cuts by their definition: the hash starts anew at the least size of each chunk."""
+    rule, base, out = chunking.Rule(window, level), 0, []
+    strict, loose = (int(m) for m in rule.masks)
+    table = [int(x) for x in rule.table]
+    while len(d) - base > rule.least:
+        h, cut = 0, min(base + rule.most, len(d))
+        for p in range(base + rule.least, cut):
+            h = (h << 1) + table[d[p]] & (1 << 64) - 1
+            if h & (strict if p < base + window else loose) == 0:
+                cut = p
+                break
+        out.append(cut)
+        base = cut
+    return [*out, len(d)] if base < len(d) else out
+
+
+@pytest.mark.parametrize("window, level", [(256, 0), (256, 1), (1024, 1)])
+def test_cuts_as_defined(window, level):
+    rng = np.random.default_rng(window + level)
+    for d in (rng.integers(0, 256, 60_000), rng.integers(0, 3, 20_000), np.zeros(9000), np.arange(300), np.zeros(64)):
+        d = d.astype(np.uint8)
+        assert chunking.cut_points(d, window, level) == byte_by_byte(d, window, level)
+        early = chunking.cut_points(d, window, level, final=False)
+        assert early == chunking.cut_points(d, window, level)[: len(early)]
+
+
+def test_chunks_of_streams_and_of_files(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    data = {"a": rng.integers(0, 256, 90_000).astype(np.uint8).tobytes(), "b": b"x" * 30_000, "c": b"", "d": b"tiny"}
+    for k, v in data.items():
+        (tmp_path / k).write_bytes(v)
+    whole = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "k string, d binary")
+    want = rows(chunking.content_chunks(whole, "d", ["k"], 512), "k", "chunk_no", "chunk_offset", "chunk_length", "chunk_hash")
+    parts = spark.createDataFrame([(k, i, bytearray(v[i : i + 700]) if v else None) for k, v in data.items() for i in range(0, len(v) or 1, 700)], "k string, o int, d binary").repartition(5)
+    for held in (1000, 1 << 22):
+        assert rows(chunking.stream_chunks(parts, ["k"], "o", "d", 512, held=held), "k", "chunk_no", "chunk_offset", "chunk_length", "chunk_hash") == want
+    for size in (4096, 10_000, 1 << 20):
+        got = chunking.chunks_of_files(spark, [str(tmp_path)], 512, range_bytes=size)
+        assert rows(got.withColumn("k", F.element_at(F.split("path", "/"), -1)), "k", "chunk_no", "chunk_offset", "chunk_length", "chunk_hash") == want
+        assert {r.k: r.d for r in concatenated(got.withColumn("k", F.element_at(F.split("path", "/"), -1)), ["k"], "chunk_offset", "chunk_data", "d").collect()} == {k: v for k, v in data.items() if v}
+
+
+def test_ranges_of_files(spark, tmp_path):
+    (tmp_path / "f").write_bytes(bytes(range(100)))
+    (tmp_path / "empty").write_bytes(b"")
+    got = file_ranges(spark, [str(tmp_path)], 30, 5, 7).orderBy("range_no").collect()
+    assert [(r.range_no, getattr(r, "from"), bytes(r.bytes)) for r in got] == [(i, max(0, 30 * i - 5), bytes(range(max(0, 30 * i - 5), min(100, 30 * i + 37)))) for i in range(4)]
+    assert file_ranges(spark, [f"file://{tmp_path}/f"], 1000).first().size == 100
+    with pytest.raises(Exception):
+        file_ranges(spark, [str(tmp_path / "gone")], 30).count()
+
+
+def test_concatenation(spark):
+    df = spark.createDataFrame([(1, None, 2, b"c"), (1, None, 1, b"ab"), (1, "x", 1, None), (None, "x", 5, b"q")], "a int, b string, o int, d binary")
+    assert {(r.a, r.b): bytes(r.w) for r in concatenated(df, ["a", "b"], "o", "d", "w").collect()} == {(1, None): b"abc", (1, "x"): b"", (None, "x"): b"q"}
+    assert concatenated(df.filter("false"), ["a"], "o", "d", "w").count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("C", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
+
+
+def test_fitted_counts_before_it_broadcasts(spark):
+    a, b = spark.range(100), spark.range(50)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(a.join(session.fitted(b), "id"))
+    assert "SortMergeJoin" in plan(a.join(session.fitted(b, 49), "id")) and "SortMergeJoin" in plan(a.join(session.merged(b), "id"))
+
+
+def test_jobs_are_cancelled_by_name(spark):
+    failed = []
+
+    def run():
+        with session.job(spark, "slow"):
+            try:
+                spark.range(1 << 40).selectExpr("sum(id * id)").collect()
+            except Exception as e:  # noqa: BLE001
+                failed.append(str(e))
+
+    t = InheritableThread(target=run, session=spark)
+    t.start()
+    for _ in range(100):
+        if session.progress(spark, "slow")[1]:
+            break
+        time.sleep(0.1)
+    assert session.progress(spark, "slow")[1] > 0
+    session.cancel(spark, "slow")
+    t.join(30)
+    assert failed and not t.is_alive()
 
 
 def test_chunking_tables(spark):
@@ -293,7 +404,18 @@ def test_archive(spark, tmp_path):
     assert open(f"{out}/b.bin", "rb").read() == base
     with pytest.raises(Exception):
         compress.compress(df, path, config.Settings(window=512, level=3))
-    raw = bytearray(open(path, "rb").read())
+    one = archive.assemble(path, str(tmp_path / "one.cla"))
+    assert all(r.ok for r in extract.verify(spark, one).collect()) and extract.listing(spark, one).count() == 5
+    assert {r.request_id: bytes(r.bytes) for r in extract.read_ranges(spark, one, q).collect()} == got
+    with archive.Bytes(path) as a, archive.Bytes(one) as b:
+        assert len(a.segments) > len(b.segments) == 1 and a.size == b.size and a.read(0, a.size) == b.read(0, b.size)
+        with pytest.raises(archive.ArchiveError, match="cut off"):
+            b.read(b.size - 3, 4)
+    compress.compress(df.filter("file_id < 3"), path, config.Settings(window=512, level=3, force=True))
+    assert extract.listing(spark, path).count() == 2 and len([n for n in os.listdir(tmp_path) if n.endswith(".volumes")]) == 1
+    archive.assemble(path)
+    assert all(r.ok for r in extract.verify(spark, path).collect()) and not [n for n in os.listdir(tmp_path) if n.endswith(".volumes")]
+    raw = bytearray(open(one, "rb").read())
     raw[-100] ^= 255
     broken = str(tmp_path / "broken.cla")
     open(broken, "wb").write(raw)
