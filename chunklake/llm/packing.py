@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunklake.llm.tokens import VOCABULARY, token_counts
-from chunklake.session import stage
+from chunklake.session import fitted, merged, stage
 
 CAPACITY = 2048
-SALTS = 64
+#: Items are numbered by so many tasks a length that each takes about this many of all.
+ITEMS_A_SALT = 250_000
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -67,18 +68,19 @@ def packed_counts(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.coalesce("tokens", F.lit(0)) > capacity,
         F.concat(F.array_repeat(F.lit(capacity), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))),
     ).otherwise(F.array(F.coalesce("tokens", F.lit(0))))
-    items = sizes.select("doc_id", F.posexplode(cut).alias("piece", "tokens")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(1, -(-sizes.count() // ITEMS_A_SALT))
+    items = sizes.select("doc_id", F.posexplode(cut).alias("piece", "tokens")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     # Ranks within a length: by salt first, so that one length with a third of all items is numbered by many tasks.
     counts = stage(items.filter("tokens > 0").groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     rows, made = plan({r.tokens: r.n for r in counts.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}, capacity)
     base = counts.select("tokens", "salt", (F.sum("n").over(Window.partitionBy("tokens").orderBy("salt")) - F.col("n")).alias("base"))
     within = F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = items.filter("tokens > 0").withColumn("within", within).join(base, ["tokens", "salt"]).withColumn("rank", F.col("base") + F.col("within"))
+    ranked = items.filter("tokens > 0").withColumn("within", within).join(fitted(base), ["tokens", "salt"]).withColumn("rank", F.col("base") + F.col("within"))
     spark = sizes.sparkSession
     schema = "length int, first long, last long, container long, each long"
     slots = spark.createDataFrame(rows, schema)
-    # The plan's size is bounded by the capacity (a few rows a length); beyond 100,000 rows the optimiser is left to choose.
-    slots = F.broadcast(slots) if len(rows) <= 100_000 else slots
+    # The plan's size is bounded by the capacity (a few rows a length); beyond 100,000 rows it is merged.
+    slots = F.broadcast(slots) if len(rows) <= 100_000 else merged(slots)
     placed = ranked.join(slots, (F.col("tokens") == F.col("length")) & F.col("rank").between(F.col("first"), F.col("last")))
     got = placed.select("doc_id", "piece", "tokens", (F.col("container") + F.expr("(rank - first) div each")).alias("container"))
     none = items.filter("tokens = 0").select("doc_id", "piece", "tokens", F.lit(None).cast("long").alias("container"))

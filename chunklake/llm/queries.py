@@ -36,6 +36,12 @@ def p1_error_rate_tight(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_rate(_messages(spark, d), table(spark, d, "chunkindex"), false_positives=1e-3)
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many messages have a key, were seen, and are new."""
+    got = seen.seen_before(_messages(spark, d), table(spark, d, "chunkindex"))
+    return got.agg(F.count("seen").alias("messages"), F.count_if("seen").alias("seen"), F.count_if(~F.col("seen")).alias("new"))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return split.items_of(table(spark, d, "filedata"), table(spark, d, "chunkmessage"))
 
@@ -106,6 +112,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Over all containers: the documents placed, containers over the capacity, and documents split though they would fit."""
+    got = _packed(spark, d)
+    size = got.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("parts"))
+    over = got.groupBy("container").agg(F.sum("tokens").alias("used")).filter("container is not null").agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"))
+    return size.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("tokens") <= packing.CAPACITY) & (F.col("parts") > 1)).alias("split_needlessly")).withColumn("overfull", F.lit(over.scalar()))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     return level.reading_levels(table(spark, d, "documents"), table(spark, d, "readlabel"))
 
@@ -123,7 +137,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_answers, p1_error_rate, p1_error_rate_tight, p2_found, p2_pieces, p2_rebuilt, p4_found, p4_shares, p5_found, p5_pairs, p5_groups, p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_levels, p8_profile)
+    named = (p1_found, p1_answers, p1_counts, p1_error_rate, p1_error_rate_tight, p2_found, p2_pieces, p2_rebuilt, p4_found, p4_shares, p5_found, p5_pairs, p5_groups, p6_ids, p7_found, p7_containers, p7_fill, p7_sound, p8_found, p8_levels, p8_profile)
     return {f.__name__: f for f in named}
 
 
@@ -146,13 +160,25 @@ p AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS i FROM w a JOIN w b ON
 SELECT p.a AS file_id_a, p.b AS file_id_b FROM p JOIN z x ON x.file_id = p.a JOIN z y ON y.file_id = p.b WHERE p.i >= 0.6 * (x.n + y.n - p.i)"""
 
 
+_GROUPS = f"""WITH RECURSIVE cl AS (SELECT file_data, min(file_id) AS rep FROM filedata WHERE octet_length(file_data) >= 64 GROUP BY file_data),
+l AS (SELECT file_id_a AS a, file_id_b AS b FROM ({_PAIRS}) WHERE file_id_a IN (SELECT rep FROM cl) AND file_id_b IN (SELECT rep FROM cl)),
+s AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(x, y) AS (SELECT rep, rep FROM cl UNION SELECT r.x, s.b FROM r JOIN s ON r.y = s.a),
+g AS (SELECT x AS rep, min(y) AS root FROM r GROUP BY x), k AS (SELECT a AS rep, count(*) AS links FROM s GROUP BY a)
+SELECT file_id, coalesce(rep, file_id) AS content_id, coalesce(root, file_id) AS group_id, coalesce(links, 0) AS links FROM filedata LEFT JOIN cl USING (file_data) LEFT JOIN g USING (rep) LEFT JOIN k USING (rep)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _SPANS,
+        "p4_shares": f"SELECT file_id, CAST(n AS BIGINT) AS data_bytes, coalesce(spans, 0) AS spans, CAST(coalesce(b, 0) AS BIGINT) AS shared_bytes, coalesce(b, 0) / CAST(nullif(n, 0) AS DOUBLE) AS share "
+        f"FROM (SELECT file_id, coalesce(octet_length(file_data), 0) AS n FROM filedata) LEFT JOIN (SELECT file_id, count(*) AS spans, sum(span_bytes) AS b FROM ({_SPANS}) GROUP BY file_id) USING (file_id)",
         "p5_found": _PAIRS,
+        "p5_groups": _GROUPS,
         "p5_pairs": _PAIRS,
         "p1_found": f"{_KEYED} SELECT msg_id FROM r WHERE n > 1 OR k IN (SELECT chunk_hash FROM chunkindex)",
         "p1_answers": f"{_KEYED} SELECT msg_id, n > 1 OR k IN (SELECT chunk_hash FROM chunkindex) AS seen FROM r UNION ALL SELECT msg_id, NULL FROM m WHERE k IS NULL",
+        "p1_counts": f"{_KEYED}, s AS (SELECT n > 1 OR k IN (SELECT chunk_hash FROM chunkindex) AS seen FROM r) SELECT count(*) AS messages, count(*) FILTER (seen) AS seen, count(*) FILTER (NOT seen) AS new FROM s",
+        "p7_sound": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split_needlessly FROM documents",
         "p2_found": "SELECT 'file' AS item_kind, file_id AS item_id FROM filedata WHERE octet_length(file_data) > 8192 "
         "UNION SELECT 'chunk', msg_id FROM chunkmessage WHERE octet_length(chunk_data) > 1024",
         "p2_rebuilt": "SELECT 'file' AS item_kind, file_id AS item_id, CAST(octet_length(file_data) AS BIGINT) AS bytes, md5(file_data) AS md5, true AS pieces_ok FROM filedata WHERE octet_length(file_data) > 8192 "

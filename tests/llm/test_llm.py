@@ -424,8 +424,9 @@ def test_packing(spark):
     assert none.count() == 0 and packing.fill_report(none).first().fill is None
 
 
-def test_one_length_with_most_items(spark):
+def test_one_length_with_most_items(spark, monkeypatch):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.col("id") % 700 + 1).otherwise(100).cast("int").alias("tokens"))
+    monkeypatch.setattr(packing, "ITEMS_A_SALT", 300)
     r = packing.fill_report(packing.packed_counts(df)).first()
     assert r["items"] == 5000 and r.overfull == 0 and r.fill > 0.99
 
@@ -470,6 +471,43 @@ def test_reading_levels(spark):
     assert sum(r.documents for r in profile) >= sum(r.is_prose for i, r in by.items() if i is not None)
 
 
+def test_rare_strings_are_merged(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    want = sorted((str(r.doc_id), r.words, r.coverage_rank, r.level, round(r.score or 0, 6)) for r in level.reading_levels(docs, labels).collect())
+    monkeypatch.setattr(level, "HEAD", 12)
+    monkeypatch.setattr(level, "COMMON", 30)
+    prose = level.stage(level._prose(docs, "doc_id", "text", "lang"), "prose")
+    head, tail = level.vocabulary(prose)
+    assert 0 < head.count() <= 12 and tail.count() > 12
+    got = sorted((str(r.doc_id), r.words, r.coverage_rank, r.level, round(r.score or 0, 6)) for r in level.reading_levels(docs, labels).collect())
+    assert got == want
+
+
+def broadcasts(df):
+    """The tables a query's plan would broadcast, as text."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("strategy=broadcast"), df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_only_stated_broadcasts(spark, monkeypatch):
+    """Written tables are far smaller on disk than in memory: here no join is left to the planner's estimate."""
+    docs, labels = corpus(spark)
+    stated, planned = broadcasts(level.measures(docs))
+    assert stated == planned == 1, "the head of the vocabulary"
+    monkeypatch.setattr(level, "HEAD", 12)
+    stated, planned = broadcasts(level.measures(docs))
+    assert stated == planned == 2, "the head, to find what it holds and what it doesn't"
+    files = files_of(spark, near_files())
+    for df in (neardup.similar_pairs(files), neardup.similar_groups(files), spans.shared_spans(files)):
+        stated, planned = broadcasts(df)
+        assert stated == planned
+    from chunklake import session
+
+    monkeypatch.setattr(session.fitted, "__defaults__", (0,))
+    for df in (neardup.similar_pairs(files), neardup.similar_groups(files), spans.shared_spans(files)):
+        assert broadcasts(df) == (0, 0)
+
+
 def test_levels_without_labels_or_documents(spark):
     docs, labels = corpus(spark)
     assert level.reading_levels(docs.filter("false"), labels).count() == 0
