@@ -540,7 +540,7 @@ def cdc_file_ranges(spark, d):
     return each.groupBy("blob").agg(F.sum(F.when(F.col("times").bitwiseAND(F.lit(1)) == 1, F.col("chunk_length"))).cast("long").alias("bytes"), F.min(F.col("times") == 3).alias("same"))
 
 
-@query(f"SELECT game_id, file_id, {_big('at - base')} AS place FROM (SELECT *, sum(n) OVER w - n AS base, sum(n) OVER (PARTITION BY game_id) // 2 AS at, sum(n) OVER w AS upto FROM (SELECT game_id, file_id, coalesce(octet_length(file_data), 0) AS n FROM filedata WHERE game_id IS NOT NULL) WINDOW w AS (PARTITION BY game_id ORDER BY file_id)) WHERE base <= at AND at < upto")
+@query(f"SELECT game_id, file_id, {_big('mid - base')} AS place FROM (SELECT *, sum(n) OVER w - n AS base, sum(n) OVER (PARTITION BY game_id) // 2 AS mid, sum(n) OVER w AS upto FROM (SELECT game_id, file_id, coalesce(octet_length(file_data), 0) AS n FROM filedata WHERE game_id IS NOT NULL) WINDOW w AS (PARTITION BY game_id ORDER BY file_id)) WHERE base <= mid AND mid < upto")
 def multipart_locate(spark, d):
     """The part, and the byte in it, that holds the middle byte of each game's files put one after the other."""
     parts = layout.part_bases(table(spark, d, "filedata").filter("game_id is not null").select("game_id", "file_id", F.coalesce(F.octet_length("file_data"), F.lit(0)).cast("long").alias("n")), "game_id", "file_id", "n").filter("n > 0")
