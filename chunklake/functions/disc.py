@@ -83,7 +83,7 @@ def is_zeroed(sector: Column) -> Column:
 
 
 @functools.cache
-def _edc_table() -> np.ndarray:
+def edc_table() -> np.ndarray:
     """The reflected CRC table of the polynomial 0x8001801B, as discs use it."""
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -93,7 +93,7 @@ def _edc_table() -> np.ndarray:
 
 def edc(rows: np.ndarray) -> np.ndarray:
     """The 32-bit error-detection code of each row of bytes: one table step for a column, over all rows at once."""
-    t, crc = _edc_table(), np.zeros(len(rows), dtype=np.uint32)
+    t, crc = edc_table(), np.zeros(len(rows), dtype=np.uint32)
     for j in range(rows.shape[1]):
         crc = (crc >> np.uint32(8)) ^ t[(crc ^ rows[:, j]) & np.uint32(255)]
     return crc

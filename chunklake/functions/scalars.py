@@ -119,8 +119,8 @@ def title(name: Column) -> Column:
     return F.substring(name, 1, 255)
 
 
-def fits_in_memory(available: int, data: int) -> bool:
+def fits_in_memory(available: Column, data: Column) -> Column:
     """Whether an archive's data may be held in memory while it is made: four fifths of what is available exceed the data, a copy of up to
     2^32 - 1 bytes of it, and as many bytes again. The engine doesn't ask, since stages are written; callers of bounded jobs may."""
-    most = 2**32 - 1
-    return 0.8 * available > data + min(data, most) + most
+    most = F.lit(2**32 - 1)
+    return F.lit(0.8) * available > data + F.least(data, most) + most

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -16,8 +20,10 @@ from chunklake.functions.keys import canonical_key, canonical_key_sql
 from chunklake.operators.concat import concatenated
 from chunklake.operators import chunking, cue, dedup, joins, layout, optical, runs, seek, skew, tuning, verify
 from chunklake.plans import compress, discs, extract
-from chunklake.session import shared_dir, stage, table
+from chunklake.session import job, progress, shared_dir, stage, table
+from chunklake.sources import config
 from chunklake.sources import files as sources
+from chunklake.sources.archive import local
 from chunklake.sources.config import Settings
 from chunklake.streaming import ingest
 
@@ -659,6 +665,10 @@ def disc_sizes(spark, d):
     return optical.disc_sizes(optical.kind_runs(optical.sector_map(_discs(spark, d))))
 
 
+_EXTRA = "CASE WHEN f IN ('mode1', 'zero') THEN substr(h, 4137, 16) WHEN f <> 'audio' THEN substr(h, 33, 16) END"
+_CRC = "list_reduce(list_prepend(0::UBIGINT, list_transform(range(2064), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)), lambda c, b: xor(c >> 8, [" + ", ".join(f"{x}::UBIGINT" for x in disc.edc_table().tolist()) + "][(xor(c, b) & 255)::INT + 1]))"
+
+
 @query(f"WITH {_SECTORS}, k AS (SELECT *, {_MODE} AS f FROM s) SELECT disc, sector_idx, md5(unhex(CASE f WHEN 'mode1' THEN substr(h, 33, 4096) WHEN 'form1' THEN substr(h, 49, 4096) WHEN 'form2' THEN substr(h, 49, 4648) ELSE h END)) AS md5 FROM k")
 def disc_user_data(spark, d):
     return optical.sector_map(_discs(spark, d)).select("disc", "sector_idx", F.md5(disc.user_data(F.col("sector"), F.col("kind"))).alias("md5"))
@@ -678,7 +688,7 @@ def disc_user_chunks(spark, d):
     return optical.user_chunks(stage(optical.sector_map(_discs(spark, d)), "map")).select("disc", "run_no", "chunk_no", "chunk_offset", "chunk_length", "chunk_hash")
 
 
-@query()
+@query(f"WITH {_SECTORS}, k AS (SELECT *, {_MODE} AS f FROM s), x AS (SELECT disc, sector_idx, {_EXTRA} AS extra FROM k), a AS (SELECT *, CASE WHEN lag(extra) OVER w = extra AND lag(sector_idx) OVER w = sector_idx - 1 THEN 0 ELSE 1 END AS nw FROM x WHERE extra IS NOT NULL WINDOW w AS (PARTITION BY disc ORDER BY sector_idx)), r AS (SELECT *, sum(nw) OVER (PARTITION BY disc ORDER BY sector_idx) - 1 AS run_no FROM a) SELECT disc, {_big('run_no')} AS run_no, min(sector_idx) AS run_start, count(*) AS run_length, any_value(extra) AS extra FROM r GROUP BY disc, run_no")
 def disc_subheaders(spark, d):
     return optical.subheaders(optical.sector_map(_discs(spark, d)))
 
@@ -711,8 +721,14 @@ def _stored_edc():
     return F.conv(F.hex(F.concat(*[F.col("sector").substr(2069 - i, 1) for i in range(1, 5)])), 16, 10).cast("long")
 
 
-@query()
+@query(f"WITH {_SECTORS} SELECT disc, sector_idx, {_CRC} = ('0x' || substr(h, 4135, 2) || substr(h, 4133, 2) || substr(h, 4131, 2) || substr(h, 4129, 2))::UBIGINT AS edc_ok FROM s")
 def edc_check(spark, d):
+    s = chunking.sectors_of(_discs(spark, d), "image", ["disc"])
+    return s.select("disc", "sector_idx", (disc.edc_of(F.col("sector").substr(1, 2064)) == _stored_edc()).alias("edc_ok"))
+
+
+@query()
+def ecc_check(spark, d):
     s = chunking.sectors_of(_discs(spark, d), "image", ["disc"])
     return s.select("disc", "sector_idx", (disc.edc_of(F.col("sector").substr(1, 2064)) == _stored_edc()).alias("edc_ok"), disc.ecc_ok("sector").alias("ecc_ok"))
 
@@ -796,8 +812,126 @@ def disc_archive_sector(spark, d):
     return discs.disc_sectors(spark, path, want).select("disc", "sector_idx", F.md5("sector").alias("md5"))
 
 
+# Files on disk, settings, control
+
+def _on_disk(spark, d) -> str:
+    """The folder, on a disk all executors share, with a file of each row of filedata."""
+    folder = f"{shared_dir(spark)}/stage-files-{uuid.uuid4().hex}"
+    sources.write_files(_files(spark, d).select(F.format_string("f%08d.bin", F.col("file_id")).alias("name"), F.col("file_data").alias("data")), folder).count()
+    return folder
+
+
+@query("SELECT printf('f%08d.bin', file_id) AS name, CAST(coalesce(octet_length(file_data), 0) AS BIGINT) AS length FROM filedata")
+def folder_listing(spark, d):
+    folder = local(_on_disk(spark, d))
+    files, _ = sources.organise_paths([f"{folder}/f{i:08d}.bin" for i in range(3)] + [f"{folder}/none"])
+    return sources.read_files(spark, [folder, f"{folder}/none"]).unionByName(sources.read_files(spark, files)).select("path", "name", "length").distinct().select("name", "length")
+
+
+@query("SELECT printf('f%08d.bin', file_id) AS name, md5(coalesce(file_data, ''::BLOB)) AS md5 FROM filedata")
+def archive_extract(spark, d):
+    """Files on disk through an archive into another folder."""
+    path, out = f"{shared_dir(spark)}/stage-extract-{uuid.uuid4().hex}.cla", f"{shared_dir(spark)}/stage-out-{uuid.uuid4().hex}"
+    files = sources.read_files(spark, [local(_on_disk(spark, d))]).select(F.col("path").alias("file_id"), F.col("name").alias("file_name"), "content")
+    compress.compress(files, path, Settings(level=3))
+    extract.extract(spark, path, out, force=True).count()
+    return sources.read_files(spark, [local(out)]).select("name", F.md5("content").alias("md5"))
+
+
+@query(f"WITH {_SECTORS} SELECT printf('disc_%08d', disc) AS title, {_big('count(*) * 2352')} AS bytes, md5(unhex(string_agg(h, '' ORDER BY sector_idx))) AS md5 FROM s GROUP BY disc")
+def disc_extract(spark, d):
+    """Images through a disc archive into a folder of images and sheets."""
+    out = f"{shared_dir(spark)}/stage-out-{uuid.uuid4().hex}"
+    discs.extract_discs(spark, _disc_archive(spark, d), out).count()
+    f = sources.read_files(spark, [local(out)])
+    sheets = f.filter("name like '%.cue'").select(scalars.stem(F.col("name")).alias("title"))
+    return f.filter("name like '%.bin'").select(scalars.stem(F.col("name")).alias("title"), F.col("length").alias("bytes"), F.md5("content").alias("md5")).join(sheets, "title")
+
+
+@query("SELECT index, filename, size_bytes FROM (SELECT row_number() OVER (ORDER BY file_id) AS index, printf('f%08d.bin', file_id) AS filename, CAST(coalesce(octet_length(file_data), 0) AS BIGINT) AS size_bytes FROM filedata)")
+def command_line(spark, d):
+    """Files on disk through the command line: compress, verify, list."""
+    from chunklake import cli
+
+    path = local(f"{shared_dir(spark)}/stage-cli-{uuid.uuid4().hex}.cla")
+    with contextlib.redirect_stdout(io.StringIO()):
+        if cli.main(["compress", local(_on_disk(spark, d)), "-o", path, "--level", "3"], spark) or cli.main(["verify", path], spark):
+            raise RuntimeError("the command line failed")
+    return extract.listing(spark, path).select("index", "filename", "size_bytes")
+
+
+@query("SELECT * FROM (VALUES ('default', 2048, 19), ('file', 4096, 3), ('file and arguments', 4096, 5), ('optical', 8192, 19)) AS t(source, window_bytes, level)")
+def settings_precedence(spark, d):
+    """Defaults, a file's values over them, and arguments over those."""
+    with tempfile.TemporaryDirectory() as folder:
+        name = f"{folder}/c.toml"
+        rows = [("default", config.load(name))]
+        with open(name, "w") as f:
+            f.write('window = "4KiB"\nlevel = 3\n')
+        rows += [("file", config.load(name)), ("file and arguments", config.merge(config.load(name), {"level": 5, "window": None})), ("optical", Settings(optical=True))]
+    return spark.createDataFrame([(n, s.checked().sizes()[0], s.level) for n, s in rows], "source string, window_bytes int, level int")
+
+
+@query("SELECT * FROM (VALUES ('auto_tune with a window', true), ('auto_tune for discs', true), ('hash of 32 bits', true), ('level 0', true), ('window of 1000', true), ('none', false)) AS t(conflict, refused)")
+def settings_conflicts(spark, d):
+    cases = {"auto_tune with a window": {"auto_tune": True, "window": 512}, "auto_tune for discs": {"auto_tune": True, "optical": True}, "hash of 32 bits": {"hash_bits": 32}, "level 0": {"level": 0}, "window of 1000": {"window": 1000}, "none": {}}
+
+    def refused(given: dict) -> bool:
+        try:
+            return config.merge(Settings(), given).checked() is None
+        except ValueError:
+            return True
+
+    return spark.createDataFrame([(k, refused(v)) for k, v in cases.items()], "conflict string, refused boolean")
+
+
+@query("SELECT o_orderkey, 0.8 * a > n + least(n, 4294967295) + 4294967295 AS fits FROM (SELECT o_orderkey, CAST(o_totalprice * 100000 AS BIGINT) AS a, o_custkey * 1000000 AS n FROM orders)")
+def memory_admission(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100000).cast("long").alias("a"), (F.col("o_custkey") * 1000000).alias("n"))
+    return o.select("o_orderkey", scalars.fits_in_memory(F.col("a"), F.col("n")).alias("fits"))
+
+
+@query("SELECT doc_id, substr(text, 1, 255) AS title FROM documents WHERE text IS NOT NULL")
+def disc_titles(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", scalars.title(F.col("text")).alias("title"))
+
+
+@query("SELECT true AS trained, true AS lossless")
+def zstd_optimised(spark, d):
+    """A dictionary with its parameters searched for, and all chunks through it and back."""
+    chunks = stage(dedup.store(_chunks(spark, d)).select("chunk_hash", "chunk_data"), "store")
+    trained = tuning.dictionary(chunks, 8192, optimise=True, cap=1 << 20)
+    back = codec.with_codec(codec.with_codec(chunks, "chunk_data", "z", "compress", trained, 3), "z", "back", "decompress", trained)
+    return back.agg(F.min(F.col("back") == F.col("chunk_data")).alias("lossless")).select(F.lit(0 < len(trained) <= 8192).alias("trained"), "lossless")
+
+
+@query("SELECT true AS finished, true AS tasks_counted")
+def job_progress(spark, d):
+    name = f"job-{uuid.uuid4().hex}"
+    with job(spark, name):
+        table(spark, d, "lineitem").agg(F.sum("l_quantity")).collect()
+        for _ in range(50):  # the tracker hears of the end a little later
+            done, tasks = progress(spark, name)
+            if tasks and done == tasks:
+                break
+            time.sleep(0.1)
+    return spark.createDataFrame([(done == tasks, tasks > 0)], "finished boolean, tasks_counted boolean")
+
+
 # Streaming
 
+@query("SELECT true AS same, true AS once")
+def ingest_store(spark, d):
+    """Arriving files through the stream, twice, into a store, against the store of the same files in one batch."""
+    folder, base = _on_disk(spark, d), f"{shared_dir(spark)}/stage-ingest-{uuid.uuid4().hex}"
+    for k in ("a", "b"):
+        ingest.ingest(spark, local(folder), f"{base}/store", f"{base}/checkpoint-{k}", most=200, digits=1).awaitTermination()
+    got = spark.read.parquet(f"{base}/store").groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"))
+    want = dedup.keys(chunking.content_chunks(_files(spark, d), "file_data", ["file_id"])).withColumn("m", F.lit(1))
+    both = got.join(want, "chunk_hash", "full")
+    return both.agg(F.count_if(F.col("n").isNull() | F.col("m").isNull()).alias("differ"), F.max("n").alias("most")).select((F.col("differ") == 0).alias("same"), (F.col("most") == 1).alias("once"))
+
+
 @query("SELECT date_trunc('hour', received_at) AS window_start, count(*) AS messages, count(chunk_hash) AS keyed FROM chunkmessage GROUP BY 1")
 def windowed_arrivals(spark, d):
     return ingest.windowed_arrivals(table(spark, d, "chunkmessage"))

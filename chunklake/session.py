@@ -97,11 +97,16 @@ def cancel(spark: SparkSession, name: str) -> None:
 
 
 def progress(spark: SparkSession, name: str) -> tuple[int, int]:
-    """(tasks done, tasks) of the stages of a group's jobs that are known so far."""
+    """(tasks done, tasks) of the stages of a group's jobs that are known so far; of a finished job all count as done, though it skips some."""
     t = spark.sparkContext.statusTracker()
-    stages = [t.getStageInfo(s) for j in t.getJobIdsForGroup(name) if (info := t.getJobInfo(j)) for s in info.stageIds]
-    there = [s for s in stages if s]
-    return sum(s.numCompletedTasks for s in there), sum(s.numTasks for s in there)
+    done = tasks = 0
+    for j in t.getJobIdsForGroup(name):
+        info = t.getJobInfo(j)
+        there = [s for i in (info.stageIds if info else ()) if (s := t.getStageInfo(i))]
+        n = sum(s.numTasks for s in there)
+        tasks += n
+        done += n if there and info.status == "SUCCEEDED" else sum(s.numCompletedTasks for s in there)
+    return done, tasks
 
 
 def drop_stages(spark: SparkSession) -> None:

@@ -444,6 +444,12 @@ def test_sources(spark, tmp_path):
     assert rows(df, "name", "length") == [("a.cue", 1), ("b.bin", 3)]
     assert rows(files.read_texts(spark, [str(tmp_path / "d")], "cue"), "name", "text") == [("a.cue", "x")]
     assert files.read_files(spark, []).count() == 0
+    (tmp_path / "d" / "empty.bin").write_bytes(b"")
+    both = files.read_files(spark, [str(tmp_path / "d")])
+    assert rows(both, "name", "length", "content") == [("a.cue", 1, b"x"), ("b.bin", 3, b"123"), ("empty.bin", 0, b"")]
+    assert rows(files.read_files(spark, [str(tmp_path / "d")], "*.bin"), "name") == [("b.bin",), ("empty.bin",)]
+    assert rows(files.read_files(spark, [str(tmp_path / "d" / "empty.bin")]), "name") == [("empty.bin",)]
+    (tmp_path / "d" / "empty.bin").unlink()
     assert "content" not in df.agg(F.sum("length"))._jdf.queryExecution().executedPlan().toString()
     lib = spark.createDataFrame([("/r/M/S/G/1",), ("/r/M/S/G/2",), ("x",)], "path string")
     assert rows(files.library(lib), "manufacturer", "system", "game", "files") == [("M", "S", "G", 2)]
