@@ -65,13 +65,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fitted(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """df as a join's smaller side: counted, and broadcast up to `most` rows; beyond that merged, with both sides shuffled.
+def fitted(df: DataFrame, most: int = 200_000, beyond: str = "merge") -> DataFrame:
+    """df as a join's smaller side: counted, and broadcast up to `most` rows; beyond that both sides are shuffled, and sorted ("merge")
+    or df hashed by partition ("shuffle_hash", which leaves wide rows of the other side unsorted).
 
     The planner weighs a written table by its bytes on disk, which an explode or a good compression leaves far below its size in
     memory. So the rows are counted (from the files' footers, where df is a written table as it is) and the choice is stated. For narrow rows only.
     """
-    return F.broadcast(df) if df.count() <= most else merged(df)
+    return F.broadcast(df) if df.count() <= most else df.hint(beyond)
 
 
 def merged(df: DataFrame) -> DataFrame:
