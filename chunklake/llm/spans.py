@@ -187,7 +187,7 @@ def shared_spans(files: DataFrame, ident: str = "file_id", data: str = "file_dat
     # Where each context is; its bytes are taken in the scan, if the places can be broadcast, else files are shuffled to them.
     wanted = stage(kinds.join(merged(unequal), "anchor").select("anchor", "reach", "lo", "hi", "n", "one.*"), "wanted")
     around = stage(
-        rows.join(fitted(wanted), "file_id")
+        rows.join(fitted(wanted, 50_000, "shuffle_hash"), "file_id")
         .select("anchor", "reach", "lo", "hi", "n", F.substring(F.col("file_data"), F.col("start") + 1, F.col("ahead") + LEAST).alias("bytes")),
         "around",
     )
