@@ -273,7 +273,7 @@ def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, least: float
     part = lambda c: F.pmod(F.xxhash64(c), F.coalesce(F.ceil(2 * F.col("bytes") / MEETING_BYTES), F.lit(1)))
     placed = stage(pairs.join(fitted(heavy), "meeting", "left").select(F.xxhash64("meeting", part("a"), part("b")).alias("meeting"), "a", "b"), "meetings")
     wanted = stage(placed.select("meeting", F.explode(F.array("a", "b")).alias("file_id")).distinct(), "wanted")
-    data = rows.select("file_id", "data").join(fitted(wanted), "file_id")
+    data = rows.select("file_id", "data").join(fitted(wanted, beyond="shuffle_hash"), "file_id")
     flow = placed.select("meeting", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("data")).unionByName(data.select("meeting", F.lit(1).alias("kind"), F.col("file_id").alias("a"), F.lit(None).cast("long").alias("b"), "data"))
     return flow.repartition("meeting").sortWithinPartitions("meeting", "kind").mapInArrow(_meeting_batches(least), "a long, b long, similarity double")
 
