@@ -53,11 +53,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     known = vars(config.Settings())
     s = config.merge(base, {k: v for k, v in vars(a).items() if k in known}).checked()
     spark = spark or local_session()
-    from pyspark.sql import functions as F
-
     from chunklake.plans import compress, discs, extract
     from chunklake.sources.archive import DISC, assemble, read_header
-    from chunklake.sources.files import read_files
 
     images = a.mode != "compress" and read_header(a.archive)["format_id"] == DISC
     if a.mode == "compress" and s.optical:
@@ -65,8 +62,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(json.dumps(discs.compress_discs(found, a.output, s, tracks, lists)))
         a.volumes or assemble(a.output)
     elif a.mode == "compress":
-        files = read_files(spark, a.input).select(F.col("path").alias("file_id"), F.col("name").alias("file_name"), "content")
-        print(json.dumps(compress.compress(files, a.output, s)))
+        print(json.dumps(compress.compress_files(spark, a.input, a.output, s)))
         a.volumes or assemble(a.output)
     elif a.mode == "info":
         toc = extract.listing(spark, a.archive)

@@ -129,6 +129,7 @@ def test_ranges_of_files(spark, tmp_path):
     got = file_ranges(spark, [str(tmp_path)], 30, 5, 7).orderBy("range_no").collect()
     assert [(r.range_no, getattr(r, "from"), bytes(r.bytes)) for r in got] == [(i, max(0, 30 * i - 5), bytes(range(max(0, 30 * i - 5), min(100, 30 * i + 37)))) for i in range(4)]
     assert file_ranges(spark, [f"file://{tmp_path}/f"], 1000).first().size == 100
+    assert file_ranges(spark, [str(tmp_path / "empty")], 30).count() == 0 and chunking.chunks_of_files(spark, []).count() == 0
     with pytest.raises(Exception):
         file_ranges(spark, [str(tmp_path / "gone")], 30).count()
 
@@ -434,6 +435,24 @@ def test_archive(spark, tmp_path):
         archive.read_header(broken)
 
 
+def test_large_files_are_archived_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    src = tmp_path / "in"
+    src.mkdir()
+    data = {"a.bin": rng.integers(0, 256, 70_000).astype(np.uint8).tobytes(), "b.bin": b"", "c.bin": b"ab" * 9000}
+    data["d.bin"] = data["a.bin"][100:60_000]
+    for k, v in data.items():
+        (src / k).write_bytes(v)
+    path, out = str(tmp_path / "x.cla"), str(tmp_path / "out")
+    done = compress.compress_files(spark, [str(src), str(tmp_path / "none")], path, config.Settings(window=512, level=3), range_bytes=8192)
+    assert done["files"] == 4 and done["bytes"] == sum(map(len, data.values())) and done["compressed_bytes"] < 90_000
+    assert all(r.ok for r in extract.verify(spark, path).collect())
+    assert {r.filename: r.size for r in extract.extract(spark, path, out, force=True).collect()} == {k: len(v) for k, v in data.items()}
+    assert all((tmp_path / "out" / k).read_bytes() == v for k, v in data.items())
+    rowed = files.read_files(spark, [str(src)]).select(F.col("path").alias("file_id"), F.col("name").alias("file_name"), "content")
+    assert compress.compress(rowed, str(tmp_path / "y.cla"), config.Settings(window=512, level=3))["unique_chunks"] == done["unique_chunks"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "sub").mkdir()
