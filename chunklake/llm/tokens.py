@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -148,13 +149,21 @@ class PrefixEncoder:
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text without special tokens; none for an empty or null text."""
-        out: list[int] = []
-        if text:
-            done = self._done
-            for p in self.find(text):
-                got = done.get(p)
-                out += got if got is not None else self.piece(p)
-        return out
+        return list(chain.from_iterable(self._pieces(text)))
+
+    def count(self, text: str | None) -> int:
+        """How many ids encode() gives."""
+        return sum(map(len, self._pieces(text)))
+
+    def _pieces(self, text: str | None) -> list[list[int]]:
+        """The ids of each of a text's pieces; most pieces have been met before."""
+        if not text:
+            return []
+        found = self.find(text)
+        try:
+            return list(map(self._done.__getitem__, found))
+        except KeyError:
+            return list(map(self.piece, found))
 
 
 class EditableText:
@@ -243,8 +252,7 @@ def encoded(documents: DataFrame, ident: str = "doc_id", text: str = "text", voc
                 part = rb.slice(a, 1000)
                 flat: list[np.ndarray] = []
                 ends = [0]
-                for t in part.column(1):
-                    ids = enc.encode(t.as_py())
+                for ids in map(enc.encode, part.column(1).to_pylist()):
                     flat.append(np.array(ids, dtype=np.int32))
                     ends.append(ends[-1] + len(ids))
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.concatenate(flat)))
@@ -260,7 +268,7 @@ def token_counts(documents: DataFrame, ident: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared.value, key)
         for rb in batches:
-            n = [len(enc.encode(t.as_py())) for t in rb.column(1)]
+            n = list(map(enc.count, rb.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(n, pa.int32())], names=["doc_id", "tokens"])
 
     return documents.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, tokens int")
