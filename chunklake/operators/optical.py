@@ -26,11 +26,11 @@ def sector_map(images: DataFrame, ident: str = "disc", data: str = "image", trac
     classified by their codes. Without tracks every sector is classified. One pass over the sectors; a batch at a time."""
     s = sectors_of(images, data, [ident])
     if tracks is None:
-        return s.select(ident, "sector_idx", disc.sector_kind("sector").alias("kind"), "sector")
+        return s.select(ident, "sector_idx", disc.sector_kind("sector", "sector_idx").alias("kind"), "sector")
     t = tracks.select(ident, "track_start", F.struct("track_start", "content_start", "track_mode").alias("track"))
     placed = asof(s, t, [ident], "sector_idx", "track_start", "track")
     pre = F.col("sector_idx") < F.col("track.content_start")
-    looked = disc.sector_kind(F.when(F.col("track.track_mode") != "AUDIO", F.col("sector")))
+    looked = disc.sector_kind(F.when(F.col("track.track_mode") != "AUDIO", F.col("sector")), F.col("sector_idx"))
     audio = F.when(pre, F.lit("PregapAudio")).otherwise(F.lit("Audio"))
     of_data = placed.withColumn("_k", looked)
     in_pregap = F.when(F.col("_k") == "Mode1", "PregapMode1").when(F.col("_k") == "Mode1Exception", "PregapMode1Exception").when(F.col("_k").isin("Mode2Form1", "Mode2Form2"), "PregapMode2").when(F.col("_k").isin("Mode2Form1Exception", "Mode2Form2Exception"), "PregapMode2Exception").otherwise(F.col("_k"))
