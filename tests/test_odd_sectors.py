@@ -9,7 +9,7 @@ from chunklake.functions import disc
 from chunklake.plans import registry
 
 #: Queries with SQL.
-NAMES = ["disc_archive_verify", "disc_extract"]
+NAMES = ["disc_archive_verify", "disc_extract", "disc_sources"]
 
 
 def made(kind: str, lba: int, change: dict[int, int] | None = None) -> bytes:
