@@ -37,3 +37,12 @@ def odd(tmp_path_factory):
 @pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, same_as_sql, odd, name):
     same_as_sql(spark, odd, registry.queries()[name], registry.oracle_sql()[name])
+
+
+def test_user_chunks(spark, odd):
+    """Every byte of user data is in a chunk."""
+    got = registry.queries()["disc_user_chunks"](spark, odd).groupBy("disc").agg({"chunk_length": "sum"}).collect()
+    sizes = [2048] * 8 + [2048] * 8 + [2324] * 8, [2048] * 8 + [2324] * 4, [2048, 2048, 2324] * 4
+    # A mode that is neither 1 nor 2 has the form its bit tells.
+    forms = sum(2324 if made("Mode1", 151 + 2 * i)[18] & 32 else 2048 for i in range(4))
+    assert {r[0]: r[1] for r in got} == {1: sum(sizes[0]) - 4 * 2048 + forms, 2: sum(sizes[1]), 3: sum(sizes[2])}
