@@ -46,3 +46,9 @@ def test_user_chunks(spark, odd):
     # A mode that is neither 1 nor 2 has the form its bit tells.
     forms = sum(2324 if made("Mode1", 151 + 2 * i)[18] & 32 else 2048 for i in range(4))
     assert {r[0]: r[1] for r in got} == {1: sum(sizes[0]) - 4 * 2048 + forms, 2: sum(sizes[1]), 3: sum(sizes[2])}
+
+
+def test_exceptions(spark, odd):
+    """Each odd sector is an exception, and no other is."""
+    got = {(r.disc, r.sector_idx) for r in registry.queries()["disc_exceptions"](spark, odd).collect()}
+    assert got == {(1, i) for i in range(1, 24, 2)} | {(2, i) for i in range(12)} | {(3, i) for i in range(6, 12)}
