@@ -9,7 +9,7 @@ from chunklake.functions import disc
 from chunklake.plans import registry
 
 #: Queries with SQL.
-NAMES = ["disc_archive_verify", "disc_extract", "disc_sources", "disc_addresses", "disc_audio_blocks", "disc_roundtrip", "disc_subheaders", "disc_user_data", "sector_classify", "disc_archive_sector", "disc_sizes", "disc_user_bytes"]
+NAMES = ["disc_archive_verify", "disc_extract", "disc_sources", "disc_addresses", "disc_audio_blocks", "disc_roundtrip", "disc_subheaders", "disc_user_data", "sector_classify", "disc_archive_sector", "disc_sizes", "disc_user_bytes", "disc_verify"]
 
 
 def made(kind: str, lba: int, change: dict[int, int] | None = None) -> bytes:
