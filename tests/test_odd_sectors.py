@@ -52,3 +52,8 @@ def test_exceptions(spark, odd):
     """Each odd sector is an exception, and no other is."""
     got = {(r.disc, r.sector_idx) for r in registry.queries()["disc_exceptions"](spark, odd).collect()}
     assert got == {(1, i) for i in range(1, 24, 2)} | {(2, i) for i in range(12)} | {(3, i) for i in range(6, 12)}
+
+
+def test_kinds(spark, odd):
+    got = {r.kind: r.sectors for r in registry.queries()["sector_kinds"](spark, odd).collect()}
+    assert sum(got.values()) == 48 and sum(n for k, n in got.items() if k.endswith("Exception")) == 30
