@@ -8,7 +8,7 @@ import logging
 import os
 import time
 
-from chunklake.session import local_session
+from chunklake.session import local_session, tidy
 from chunklake.sources import config
 
 
@@ -64,6 +64,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.mode == "compress":
         print(json.dumps(compress.compress_files(spark, a.input, a.output, s)))
         a.volumes or assemble(a.output)
+        tidy(spark)
     elif a.mode == "info":
         toc = extract.listing(spark, a.archive)
         if s.json:
@@ -81,6 +82,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         checked = discs.verify_discs(spark, a.archive) if images else extract.verify(spark, a.archive, a.indices)
         bad = checked.filter("not ok").count()
         print(json.dumps({"damaged": bad}))
+        tidy(spark)
         return int(bad > 0)
     return 0
 

@@ -13,7 +13,7 @@ from chunklake.functions.codec import with_codec
 from chunklake.operators import dedup, layout, tuning
 from chunklake.operators.chunking import chunks_of_files, content_chunks
 from chunklake.operators.prefix import global_running_sum
-from chunklake.session import merged, stage
+from chunklake.session import merged, stage, tidy
 from chunklake.sources.archive import CART, write_archive
 from chunklake.sources.config import Settings
 from chunklake.sources.files import digests_of_files, files_of_folders, organise_paths
@@ -83,6 +83,7 @@ def _write(cut: Callable[[int], DataFrame], sized: DataFrame, path: str, setting
         "manifest": b.manifest.select(F.col("toc_no").alias("seq"), "toc_no", "chunk_no", "chunk_hash", "chunk_offset", "chunk_length"),
         "index": placed.select(F.col("position").alias("seq"), "chunk_hash", "data_offset", "compressed_length", F.lit(0).alias("codec")),
     }
+    tidy(packed.sparkSession)
     write_archive(path, tables, packed.select(F.col("position").alias("seq"), F.col("compressed").alias("payload")), d, n, settings.hash_bits, CART, settings.force)
     c, packed_bytes = packed.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_length"), F.lit(0))).first()
     return {"files": n, "bytes": total, "unique_chunks": c, "compressed_bytes": packed_bytes, "window": window, "dictionary": len(d)}

@@ -122,6 +122,12 @@ def drop_stages(spark: SparkSession) -> None:
                 shutil.rmtree(full, ignore_errors=True) if os.path.isdir(full) else os.remove(full)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage between two pieces of work: shuffle files and broadcasts that nothing uses are removed, and the driver
+    gives back memory, of which Python's planning processes need a share."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each context, so that they need neither its folder nor a PYTHONPATH."""
     sc = spark.sparkContext
