@@ -72,7 +72,9 @@ def _write(cut: Callable[[int], DataFrame], sized: DataFrame, path: str, setting
         make = lambda w: stage(dedup.store(cut(w), order=(ident, "chunk_offset")), "trial")
         window = tuning.best(tuning.tune_window(make, largest, settings.level, settings.tune_timeout)).parameter
         size = tuning.best(tuning.tune_dictionary(make(window), settings.level, settings.tune_timeout)).parameter
+    tidy(sized.sparkSession)
     b = bundle(cut(window), sized, name, ident)
+    tidy(sized.sparkSession)
     d = tuning.dictionary(b.store, size, optimise=settings.optimise_dictionary, cap=settings.dictionary_sample)
     packed = with_codec(b.store.select("chunk_hash", "position", "chunk_data"), "chunk_data", "compressed", "compress", d, settings.level).drop("chunk_data")
     packed = stage(packed.withColumn("compressed_length", F.octet_length("compressed")), "packed")
