@@ -47,16 +47,16 @@ def discs_of_folders(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     return images, tracks, cue.collections(cue.playlist_entries(lines))
 
 
-def compress_discs(images: DataFrame, path: str, settings: Settings = OPTICAL, tracks: DataFrame | None = None, collections: DataFrame | None = None) -> dict:
-    """Writes a disc archive of images (title, image) of whole sectors; returns figures.
+def compress_discs(images: DataFrame, path: str, settings: Settings = OPTICAL, tracks: DataFrame | None = None, collections: DataFrame | None = None, order: str = "title") -> dict:
+    """Writes a disc archive of images (title, image) of whole sectors; returns figures. `order` is the column of images that numbers them.
 
     Sectors are mapped to kinds, kinds to runs; user data is chunked for each run, audio kept in blocks of 16 sectors, and both are
     deduplicated under their hashes. What the codes and addresses of sound sectors say isn't kept, since it can be made again.
     """
     settings = settings.checked()
     window, size = settings.sizes()
-    one = images.select("title", F.octet_length("image").cast("long").alias("uncompressed_size"), F.lit(1).alias("_one"))
-    toc = stage(global_running_sum(one, [F.col("title")], "_one", "toc_no").select("title", "uncompressed_size", (F.col("toc_no") + 1).alias("toc_no")), "toc")
+    one = images.select("title", F.octet_length("image").cast("long").alias("uncompressed_size"), F.lit(1).alias("_one"), F.col(order).alias("_order"))
+    toc = stage(global_running_sum(one, [F.col("_order")], "_one", "toc_no").select("title", "uncompressed_size", (F.col("toc_no") + 1).alias("toc_no")), "toc")
     wrong = F.raise_error(F.concat(F.lit("no whole sectors: "), F.col("title"))).cast("long")
     numbered = images.join(toc.select("title", "toc_no"), "title").select(F.when(F.octet_length("image") % disc.SECTOR_BYTES != 0, wrong).otherwise(F.col("toc_no")).alias("disc"), "image")
     starts = tracks.join(toc.select("title", "toc_no"), "title").withColumnRenamed("toc_no", "disc") if tracks is not None else None

@@ -795,8 +795,9 @@ def made_disc_archive(spark, d):
 
 def _disc_archive(spark, d) -> str:
     path = f"{shared_dir(spark)}/stage-discs-{uuid.uuid4().hex}.cla"
-    images = _discs(spark, d).select(F.format_string("disc_%08d", F.col("disc")).alias("title"), "image")
-    discs.compress_discs(images, path, Settings(optical=True, level=7))
+    # Numbered by id: the titles of ids of more than eight digits don't sort as numbers.
+    images = _discs(spark, d).select(F.format_string("disc_%08d", F.col("disc")).alias("title"), "image", "disc")
+    discs.compress_discs(images, path, Settings(optical=True, level=7), order="disc")
     return path
 
 

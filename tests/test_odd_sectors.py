@@ -57,3 +57,11 @@ def test_exceptions(spark, odd):
 def test_kinds(spark, odd):
     got = {r.kind: r.sectors for r in registry.queries()["sector_kinds"](spark, odd).collect()}
     assert sum(got.values()) == 48 and sum(n for k, n in got.items() if k.endswith("Exception")) == 30
+
+
+@pytest.mark.parametrize("name", ["disc_archive_sector", "disc_archive_verify"])
+def test_ids_of_more_digits(spark, same_as_sql, tmp_path, name):
+    """Discs are numbered by id, also where titles don't sort as ids do."""
+    images = [made("Mode1", 150 + 2 * i) + made("Mode1", 151 + 2 * i) for i in range(3)]
+    pq.write_table(pa.table({"file_id": [20_000_001, 100_000_001, 7], "file_data": pa.array(images, pa.binary())}), tmp_path / "filedata.parquet")
+    same_as_sql(spark, str(tmp_path), registry.queries()[name], registry.oracle_sql()[name])
